@@ -10,7 +10,8 @@ it. A new batch gets a sorted array of its own, which is merge-scanned against e
 sort-merge join of two sorted, equally bucketed tables, without a shuffle); then levels of equal
 size merge two by two. The scans yield the anchors that occur more than once. Runs at such anchors
 whose whole contents occur twice are repeats throughout; where contents under one anchor differ,
-the passages of one run for each content are compared one by one.
+the passages of one run for each content are compared: in one task for an anchor with up to MANY
+contents, beyond that as rows of their own, dealt by their hashes.
 
 Contents are compared by 64-bit hashes within an anchor's 64-bit hash, texts by their 64-bit hash.
 
@@ -40,6 +41,9 @@ ANCHOR = 48
 #: Bytes of text hashed in one go; positions in a piece fit 20 bits.
 PIECE = 1 << 20
 BATCHES = 4
+#: Runs compared at once, and the contents of an anchor beyond which its passages are compared by a shuffle.
+GROUP = 2_000
+MANY = 20_000
 
 _BYTES = np.frombuffer(b"".join(hashlib.sha256(bytes([b])).digest()[:8] for b in range(256)), "<u8")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -186,22 +190,89 @@ class SuffixIndex:
         self.levels = []
 
 
+def _contexts(length: int):
+    """(key, content_count, kinds, text_hash, start, context) of the runs listed for a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                text, listed = batch.column(1)[k].as_py(), batch.column(2)[k].values
+                key, start, n, count, kinds = (listed.field(i) for i in range(5))
+                context = [text[s : s + m + length - 1] for s, m in zip(start.to_pylist(), n.to_pylist(), strict=True)]
+                name = pa.array(np.full(len(context), batch.column(0)[k].as_py()))
+                yield pa.RecordBatch.from_arrays([key, count, kinds, name, start, pa.array(context, pa.binary())], names=["key", "c", "kinds", "text_hash", "start", "context"])
+
+    return run
+
+
+CONTEXT = "key long, c long, kinds long, text_hash long, start long, context binary"
+
+
+def _windows(contexts: list[bytes], length: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, offset, hash) of every passage in the contexts."""
+    rows, offsets, hashes = [], [], []
+    step = max(1, PIECE // max(map(len, contexts)))
+    for a in range(0, len(contexts), step):
+        group = contexts[a : a + step]
+        sizes = np.array([len(c) for c in group])
+        n = sizes - length + 1
+        h = hasher.windows(np.frombuffer(b"".join(group), np.uint8), length)
+        row = np.repeat(np.arange(len(group)), n)
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        hashes.append(h[(np.cumsum(sizes) - sizes)[row] + offset])
+        rows.append(row + a)
+        offsets.append(offset)
+    return tuple(np.concatenate(x) for x in (rows, offsets, hashes))
+
+
+def _compare(length: int):
+    """Spans (text_hash, start, end) of passages that another run at the same anchor has; rows come sorted by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(PIECE)
+
+        def spans(rows: pa.RecordBatch) -> pa.RecordBatch:
+            key, c, name, start = (rows.column(i).to_numpy() for i in (0, 1, 3, 4))
+            row, offset, h = _windows(rows.column(5).to_pylist(), length, hasher)
+            h = h + key.view(np.uint64)[row] * _BASE  # passages match under one anchor only
+            _, which, count = np.unique(h, return_inverse=True, return_counts=True)
+            twice = (count[which] > 1) & (c[row] == 1)
+            row, offset = row[twice], offset[twice]
+            first = np.ones(len(row), bool)
+            first[1:] = (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)
+            last = np.append(first[1:], True)[: len(row)]
+            begin, end = start[row[first]] + offset[first], start[row[last]] + offset[last] + length
+            return pa.RecordBatch.from_arrays([pa.array(name[row[first]]), pa.array(begin), pa.array(end)], names=["text_hash", "start", "end"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for a in range(0, batch.num_rows, GROUP):
+                part = batch.slice(a, GROUP)
+                if held and held[-1].column(0)[-1] == part.column(0)[-1]:
+                    held.append(part)
+                    continue
+                rows = pa.concat_batches([*held, part])
+                cut = int(np.searchsorted(rows.column(0).to_numpy(), rows.column(0)[-1].as_py()))
+                if cut:
+                    yield spans(rows.slice(0, cut))
+                held = [rows.slice(cut)]
+        if held:
+            yield spans(pa.concat_batches(held))
+
+    return run
+
+
 def _passages(length: int):
-    """(key, window, text_hash, start) of each passage in the runs listed for a text."""
+    """(key, window, text_hash, start) of each passage of each context, for anchors with many contents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(PIECE)
         for batch in batches:
-            for k in range(batch.num_rows):
-                name, text = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                listed = batch.column(2)[k].values
-                key, start, n = (listed.field(i).to_numpy() for i in range(3))
-                out = []
-                for q, s, m in zip(key.tolist(), start.tolist(), n.tolist(), strict=True):
-                    part = np.frombuffer(text[s : s + m + length - 1], np.uint8)
-                    out.append((np.full(m, q), hasher.windows(part, length), s + np.arange(m)))
-                q, w, i = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(w.view(np.int64)), pa.array(np.full(len(q), name)), pa.array(i)], names=["key", "window", "text_hash", "start"])
+            for a in range(0, batch.num_rows, GROUP):
+                rows = batch.slice(a, GROUP)
+                key, name, start = (rows.column(i).to_numpy() for i in (0, 3, 4))
+                row, offset, h = _windows(rows.column(5).to_pylist(), length, hasher)
+                yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(h.view(np.int64)), pa.array(name[row]), pa.array(start[row] + offset)], names=["key", "window", "text_hash", "start"])
 
     return run
 
@@ -221,26 +292,30 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHO
     again = written(again, "candidates")
     release()
 
-    place = F.struct("text_hash", "start", "n")
-    contents = written(again.groupBy("key", "content").agg(F.count("*").alias("c"), F.min(place).alias("first")), "contents")
-    mixed = contents.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
+    place = F.xxhash64("text_hash", "start")
+    contents = written(again.groupBy("key", "content").agg(F.count("*").alias("c"), F.min(place).alias("place")), "contents")
+    mixed = contents.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
     whole = again.join(contents.where("c > 1").select("key", "content"), ["key", "content"], "left_semi")
     end = F.col("start") + F.col("n") + (length - 1)
     spans = whole.select("text_hash", "start", end.alias("end")).distinct()
 
-    compare = contents.join(mixed, "key", "left_semi").select("key", "c", "first.*")
-    listed = compare.groupBy("text_hash").agg(F.collect_list(F.struct("key", "start", "n")).alias("runs"))
-    named = docs.groupBy("text_hash").agg(F.min("id").alias("id")).join(listed, "text_hash")
-    named = written(named, "named")
-    one = docs.join(named.withColumnsRenamed({"id": "__id", "text_hash": "__hash"}), (F.col("text_hash") == F.col("__hash")) & F.col("id").eqNullSafe(F.col("__id")))
+    first = contents.join(mixed, "key").select("key", "content", "c", "kinds", "place")
+    first = again.withColumn("place", place).join(first, ["key", "content", "place"])
+    listed = first.groupBy("text_hash").agg(F.collect_set(F.struct("key", "start", "n", "c", "kinds")).alias("runs"))
+    named = docs.groupBy("text_hash").agg(F.min("id").alias("__id")).join(listed, "text_hash").withColumnRenamed("text_hash", "__hash")
+    one = docs.join(written(named, "named"), (F.col("text_hash") == F.col("__hash")) & F.col("id").eqNullSafe(F.col("__id")))
     one = one.select("text_hash", F.col("text").cast("binary").alias("text"), "runs")
-    passages = written(one.mapInArrow(_passages(length), "key long, window long, text_hash long, start long"), "passages")
+    contexts = written(one.mapInArrow(_contexts(length), CONTEXT), "contexts")
     release()
-    at = F.struct("text_hash", "start")
+    few = contexts.where(F.col("kinds") <= MANY).distinct().repartition("key").sortWithinPartitions("key")
+    parts = few.mapInArrow(_compare(length), "text_hash long, start long, end long")
+    passages = contexts.where(F.col("kinds") > MANY).mapInArrow(_passages(length), "key long, window long, text_hash long, start long")
+    at = F.xxhash64("text_hash", "start")
     twice = passages.groupBy("key", "window").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a != b").select("key", "window")
-    parts = passages.join(twice, ["key", "window"], "left_semi").select("text_hash", "start", (F.col("start") + length).alias("end"))
+    hot = passages.join(twice, ["key", "window"], "left_semi").select("text_hash", "start", (F.col("start") + length).alias("end"))
+    parts = parts.unionByName(hot)
     out = written(spans.unionByName(parts), "spans")
-    drop_written(all_runs, again, passages)
+    drop_written(all_runs, again, contexts)
     release()
     return out
 

@@ -171,8 +171,10 @@ def test_suffixes_against_brute_force(docs, texts):
     assert got == dict(zip(texts, brute_repeats(texts.values()), strict=True))
 
 
-def test_suffixes_on_tangled_repeats(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "PIECE", 1 << 20)
+@pytest.mark.parametrize("many", [20_000, 2])
+def test_suffixes_on_tangled_repeats(spark, monkeypatch, many):
+    monkeypatch.setattr(suffixes, "MANY", many)
+    monkeypatch.setattr(suffixes, "GROUP", 7)
     rng = random.Random(11)
     base = "".join(rng.choice("abcdé ") for _ in range(3_000))
     made = ["a" * 1_000, "ab" * 300, "b" * 199, "b" * 200, base[:200], base[100:299]]
