@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cairn.llm import bpe, lines, packing, pii, quality, sharding, simhash, suffixes, wordpiece
+from cairn.llm import bpe, lines, packing, pii, quality, search, sharding, simhash, suffixes, wordpiece
 from cairn.llm.common import documents
 from cairn.llm.oracle import ORACLE as SQL
 from cairn.session import scratch
@@ -42,6 +42,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str, arrivals: int = 4) -> DataFra
     return rows.join(shards, "shard").select("doc_id", "n_chars", "text_sha256", F.regexp_extract("shard", "[^/]+$", 0).alias("shard"), "tier", "shard_rows")
 
 
+def op5_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for each document whose id is divisible by 50."""
+    found = search.top_k(documents(spark, sf_dir), F.col("doc_id") % 50 == 0)
+    return found.select("query_id", F.col("id").alias("doc_id"), "score", "rank")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.col("failed_bits").bitwiseAND(F.lit(quality.BASE).cast("long")) != 0
     rows = quality.ledger(documents(spark, sf_dir))
@@ -77,6 +83,7 @@ QUERIES = {
         op2_pii,
         op3_simhash,
         op4_sharding,
+        op5_bm25,
         op6_quality_rules,
         op7_suffixes,
         op8_token_counts,

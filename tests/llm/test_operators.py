@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, lines, packing, pii, quality, sharding, simhash, suffixes, wordpiece
+from cairn.llm import bpe, lines, packing, pii, quality, search, sharding, simhash, suffixes, wordpiece
 from cairn.session import scratch
 
 from .conftest import CLASH, ODD, SF
@@ -404,6 +405,41 @@ def test_packing(docs, texts, odd, none):
         packing.pack(docs, F.col("n_chars"), max_length=10, token_budget=5)
 
 
+# ---- search
+
+
+def brute_search(table, queries, k):
+    """table: (id, text); the k best (id, score) of each query id."""
+    bags = [(i, Counter((t or "").encode().lower().split())) for i, t in table]
+    mean = sum(sum(b.values()) for _, b in bags) / len(bags)
+    df = Counter(w for _, b in bags for w in b)
+    out = {}
+    for q in queries:
+        mine = next(b for i, b in bags if i == q)
+        scores = []
+        for i, b in bags:
+            n = sum(b.values())
+            s = sum(f * math.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * n / mean)) for w, f in mine.items() if w in b)
+            if s:
+                scores.append((-round(s, 6), -1 if i is None else i))
+        out[q] = sorted(scores)[:k]
+    return out
+
+
+def test_search_against_brute_force(docs, texts, odd, none):
+    got = defaultdict(list)
+    for r in search.top_k(docs, F.col("doc_id") % 20 == 0, k=7, shard_docs=60).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.id, r.score))
+    want = brute_search(list(texts.items()), [k for k in texts if k % 20 == 0], 7)
+    assert got.keys() == want.keys()
+    for q, found in want.items():
+        assert [s for _, s in got[q]] == pytest.approx([-s for s, _ in found], abs=2e-6)
+        assert {i for i, s in got[q] if s > -found[-1][0] + 2e-6} == {i for s, i in found if -s > -found[-1][0] + 2e-6}
+    rows_ = search.top_k(odd, F.col("doc_id") % 5 == 0, k=3).collect()
+    assert Counter(r.query_id for r in rows_)[5] == 3 and {r.id for r in rows_ if r.query_id == 10 and r.rank == 1} == {10}
+    assert search.top_k(none, F.col("doc_id") % 5 == 0).count() == 0
+
+
 # ---- shards
 
 
