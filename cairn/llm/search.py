@@ -5,7 +5,8 @@ for each term, its postings in blocks of neighbouring documents with the block's
 For a query the greatest impacts, weighted, bound the score of every block; blocks are scored from
 the highest bound down until no bound can reach the k-th best score. Document counts, lengths and
 document frequencies are global, so scores of different shards compare, and merging the shards'
-k best gives exactly the k best of all. Every query visits every shard, in one co-group a shard.
+k best gives exactly the k best of all. Every query visits every shard, in co-groups of a
+shard and a block of queries, both bounded, so no task holds more however many queries there are.
 
 Defined results: words are lower-cased A-Z and cut at blanks; a query without words has no rows; a
 null text is empty and never found; equal scores go by id, nulls first; rows that repeat are
@@ -23,13 +24,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cairn.llm.common import map_texts
 from cairn.session import written
 
 K1, B = 1.2, 0.75
 BLOCK = 64
-SHARD_DOCS = 16_000
+SHARD_DOCS = 6_000
+#: Queries that visit a shard in one task.
+QUERY_BLOCK = 20_000
 
 
 def _bags(texts: list[bytes]) -> list[pa.Array]:
@@ -76,22 +80,20 @@ class Shard:
         bound = np.bincount(self.block[parts], weights=w * self.top[parts], minlength=(self.n + BLOCK - 1) // BLOCK)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        place = np.full(len(bound), len(bound))
-        place[order] = np.arange(len(order))
-        rank = place[self.block[parts]]
-        by = np.argsort(rank, kind="stable")
-        parts, w, rank = parts[by], w[by], rank[by]
-        docs, scores, done, step, least = [], [], 0, 2, 0.0
+        block = self.block[parts]
+        docs, scores, done, step, least = [], [], 0, 4, 0.0
         while done < len(order) and bound[order[done]] >= least * (1 - 1e-9):
-            a, z = np.searchsorted(rank, (done, done + step))
-            p = parts[a:z]
+            now = np.zeros(len(bound), bool)
+            now[order[done : done + step]] = True
+            at = np.flatnonzero(now[block])
+            p = parts[at]
             m = self.end[p] - self.start[p]
             post = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(self.start[p], m)
-            score = np.bincount(self.doc[post], weights=self.impact[post] * np.repeat(w[a:z], m), minlength=1)
+            score = np.bincount(self.doc[post], weights=self.impact[post] * np.repeat(w[at], m), minlength=1)
             hit = np.flatnonzero(score)
             docs.append(hit)
             scores.append(score[hit])
-            done, step = done + step, step * 2
+            done, step = done + step, step * 3
             so_far = np.concatenate(scores)
             if len(so_far) >= k:
                 least = np.partition(so_far, len(so_far) - k)[len(so_far) - k]
@@ -137,13 +139,13 @@ def top_k(df: DataFrame, is_query: Column, *, k: int = 10, id_col: str = "doc_id
     weighted = asked.join(df_of, "term").select("query_id", "term", (F.col("qf") * idf).alias("weight"))
     pairs = F.sort_array(F.collect_list(F.struct("term", "weight")))
     queries = weighted.groupBy("query_id").agg(pairs.alias("p")).select("query_id", F.col("p.term").alias("terms"), F.col("p.weight").alias("weights"))
-    queries = written(queries, "queries").select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    docs = bags.select(F.col(id_col).alias("id"), "n", "terms", "counts", F.pmod(F.xxhash64(id_col, "n", "terms"), F.lit(shards)).cast("int").alias("shard"))
-    from pyspark.sql.pandas.types import to_arrow_type
-
+    queries = written(queries, "queries")
+    parts = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    queries = queries.select("*", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    docs = bags.select(F.col(id_col).alias("id"), "n", "terms", "counts", F.pmod(F.xxhash64(id_col, "n", "terms"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     kind = bags.schema[id_col].dataType
     schema = T.StructType([T.StructField("query_id", kind), T.StructField("id", kind), T.StructField("score", T.DoubleType())])
-    found = docs.groupBy("shard").cogroup(queries.groupBy("shard")).applyInArrow(_search_shard(k, float(mean or 1.0) or 1.0, to_arrow_type(kind)), schema)
+    found = docs.groupBy("shard", "part").cogroup(queries.groupBy("shard", "part")).applyInArrow(_search_shard(k, float(mean or 1.0) or 1.0, to_arrow_type(kind)), schema)
     found = found.select("query_id", "id", F.round("score", 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_first("id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
