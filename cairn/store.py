@@ -196,8 +196,8 @@ class SnapshotStore:
         """Store rows (path, size, mode, content) as a snapshot."""
         if not checks.valid_name(name):
             raise StoreError(f"invalid snapshot name {name!r}")
-        self.verify_checkpoint()
         with self._lock():
+            self.verify_checkpoint()
             files = files.select(F.lit(name).alias("snapshot"), "path", "size", "mode", "content")
             pieces = cut(files)
             refs = pieces.select("snapshot", "path", "chunk_idx", "length", "digest")
@@ -289,8 +289,8 @@ class SnapshotStore:
 
     def checkpoint(self) -> int:
         """Write the index as a new checkpoint and empty the log; returns the version."""
-        self.verify_checkpoint()
         with self._lock():
+            self.verify_checkpoint()
             return self._checkpoint(self.index())
 
     def _checkpoint(self, index: DataFrame, version: int | None = None) -> int:
@@ -321,16 +321,16 @@ class SnapshotStore:
 
     def gc(self, dry_run: bool = False, threshold: float = gc.THRESHOLD, include_orphans: bool = False) -> GcReport:
         """Mark, analyse and select; then compact unless ``dry_run``."""
-        self.verify_checkpoint()
-        classified = self.classified()
-        report = GcReport(gc.totals(classified).first().asDict(), dry_run=dry_run)
-        report.dangling = gc.live(gc.dangling(self.refs(), self.index())).count()
-        picked = gc.select_packs(gc.pack_stats(classified), threshold)
-        if include_orphans:
-            picked = picked.select("pack_id").union(classified.where("state = 'orphan'").select("pack_id")).distinct()
-        report.packs = [r.pack_id for r in picked.select("pack_id").collect()]  # a row for each 256 MiB of garbage
-        if report.packs and not dry_run:
-            with self._lock():
+        with contextlib.nullcontext() if dry_run else self._lock():
+            self.verify_checkpoint()
+            classified = self.classified()
+            report = GcReport(gc.totals(classified).first().asDict(), dry_run=dry_run)
+            report.dangling = gc.live(gc.dangling(self.refs(), self.index())).count()
+            picked = gc.select_packs(gc.pack_stats(classified), threshold)
+            if include_orphans:
+                picked = picked.select("pack_id").union(classified.where("state = 'orphan'").select("pack_id")).distinct()
+            report.packs = [r.pack_id for r in picked.select("pack_id").collect()]  # a row for each 256 MiB of garbage
+            if report.packs and not dry_run:
                 report.reclaimed = self._compact(classified, report.packs)
         return report
 
