@@ -1,39 +1,51 @@
 """Exact top-k search by BM25 over sharded inverted indexes with block-max pruning.
 
-Documents are dealt by hash into shards of a bounded number of documents. A shard's index keeps,
-for each term, its postings in blocks of neighbouring documents with the block's greatest impact.
-For a query the greatest impacts, weighted, bound the score of every block; blocks are scored from
-the highest bound down until no bound can reach the k-th best score. Document counts, lengths and
-document frequencies are global, so scores of different shards compare, and merging the shards'
-k best gives exactly the k best of all. Every query visits every shard, in co-groups of a
-shard and a block of queries, both bounded, so no task holds more however many queries there are.
+Documents are dealt by hash into shards of a bounded number of documents. A shard's index is one
+row of a table, built once: its terms with their document frequencies, and each term's postings.
+Inside a shard documents that share their weightiest term are neighbours, in blocks of ``BLOCK``,
+and each term has the greatest impact of each block. For a query the greatest impacts, weighted,
+bound the score of every block; the blocks with the highest bounds are scored first, then those
+whose bound reaches the k-th best score so far, of this shard or of those searched before it in
+the same task. Document counts, lengths and document frequencies are global, so scores of different
+shards compare, and merging the shards' k best gives exactly the k best of all.
+
+Queries are taken in blocks of ``QUERY_TERMS`` terms on average (16 bytes each), the only thing that
+is broadcast. Each block is one pass over the index, and its results are written before the next
+begins; so neither memory nor shuffled bytes grow with the product of queries and shards.
 
 Defined results: words are lower-cased A-Z and cut at blanks; a query without words has no rows; a
 null text is empty and never found; equal scores go by id, nulls first; rows that repeat are
-found as often as they occur, and queries that share an id are one query of all their words; rows whose score is 0 are never returned.
+found as often as they occur, and queries that share an id are one query of all their words; rows whose score is 0 are never returned;
+other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from cairn.llm.common import map_texts
-from cairn.session import written
+from cairn.session import scratch, written
 
 K1, B = 1.2, 0.75
 BLOCK = 64
 SHARD_DOCS = 6_000
-#: Queries that visit a shard in one task.
-QUERY_BLOCK = 20_000
+#: Terms of the queries that are searched at once: 32 MB.
+QUERY_TERMS = 2_000_000
+#: Blocks that are scored before the others are held against the k-th best.
+FIRST_BLOCKS = 6
+#: Documents of a shard that hold a term which may decide who is whose neighbour.
+SHARED = 5
 
 
 def _bags(texts: list[bytes]) -> list[pa.Array]:
@@ -47,105 +59,190 @@ def _bags(texts: list[bytes]) -> list[pa.Array]:
     return [pa.array(n, pa.int64()), pa.array(terms, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))]
 
 
+def _neighbours(sizes: np.ndarray, term: np.ndarray, counts: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """An order of the documents that puts those with the same weightiest shared term together."""
+    key = np.full(len(sizes), -1, np.int64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        weight = np.where(held[term] >= SHARED, counts * np.log(1 + len(sizes) / held[term]), 0.0)
+        most = np.maximum.reduceat(weight, (np.cumsum(sizes) - sizes)[some])
+        at = np.flatnonzero(weight == np.repeat(most, sizes[some]))
+        owner = np.repeat(some, sizes[some])[at]
+        key[owner[::-1]] = term[at[::-1]]
+    return np.argsort(key, kind="stable")
+
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    return pa.chunked_array([c.flatten() for c in column.chunks], column.type.value_type).to_numpy()
+
+
+def _build(id_type: pa.DataType):
+    """The index of one shard: a row."""
+
+    def run(key, docs):
+        lengths = docs.column("n").to_numpy()
+        sizes = pa.compute.list_value_length(docs.column("terms")).to_numpy()
+        terms, term, held = np.unique(_flat(docs.column("terms")), return_inverse=True, return_counts=True)
+        counts = _flat(docs.column("counts"))
+        order = _neighbours(sizes, term, counts, held)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        doc = np.repeat(place, sizes)
+        by_term = np.lexsort((doc, term))
+        one = lambda values, kind: pa.array([values.astype(kind)], pa.list_(pa.from_numpy_dtype(kind)))
+        ids = pa.chunked_array(docs.column("id").chunks, id_type).combine_chunks().take(pa.array(order))
+        return pa.table(
+            {
+                "n_docs": pa.array([len(order)], pa.int64()),
+                "n_words": pa.array([int(lengths.sum())], pa.int64()),
+                "ids": pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), ids),
+                "lengths": one(lengths[order], np.int64),
+                "terms": one(terms, np.int64),
+                "held": one(held, np.int32),
+                "docs": one(doc[by_term], np.int32),
+                "counts": one(counts[by_term], np.int32),
+            }
+        )
+
+    return run
+
+
 class Shard:
     """Postings sorted by term and document, in blocks of documents."""
 
-    def __init__(self, lengths: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, mean: float):
-        doc = np.repeat(np.arange(len(lengths)), sizes)
-        order = np.lexsort((doc, terms))
-        terms, self.doc = terms[order], doc[order]
-        tf = counts[order].astype(np.float64)
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / mean))
-        block = self.doc // BLOCK
-        new = np.ones(len(terms), bool)
-        new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
+    def __init__(self, lengths: np.ndarray, terms: np.ndarray, held: np.ndarray, docs: np.ndarray, counts: np.ndarray, mean: float):
+        tf = counts.astype(np.float64)
+        self.terms, self.doc = terms, docs
+        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[docs] / mean))
+        block = docs // BLOCK
+        ends = np.cumsum(held, dtype=np.int64)
+        new = np.ones(len(docs), bool)
+        new[1:] = block[1:] != block[:-1]
+        new[ends[:-1]] = True
         self.start = np.flatnonzero(new)
-        self.end = np.append(self.start[1:], len(terms))
-        self.top = np.maximum.reduceat(self.impact, self.start) if len(terms) else np.zeros(0)
-        self.block, self.n = block[self.start], len(lengths)
-        first = np.flatnonzero(np.append(True, np.diff(terms[self.start]) != 0)) if len(terms) else np.zeros(0, np.int64)
-        self.terms = terms[self.start[first]] if len(terms) else terms
-        self.first, self.last = first, np.append(first[1:], len(self.start))
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and scores of at least the k best, all ties at the k-th place included."""
+        self.end = np.append(self.start[1:], len(docs))
+        self.top = np.maximum.reduceat(self.impact, self.start) if len(docs) else np.zeros(0)
+        self.block, self.n_blocks = block[self.start], (len(lengths) + BLOCK - 1) // BLOCK
+        self.first = np.searchsorted(self.start, ends - held)
+        self.last = np.append(self.first[1:], len(self.start))
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray, float]:
+        """Documents and scores of at least ``least`` and the k-th best, ties included; the greater of these two."""
         at = np.searchsorted(self.terms, terms)
-        known = (at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else np.zeros(len(terms), bool)
+        at[at == len(self.terms)] = 0
+        known = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
         at, weights = at[known], weights[known]
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0)
         n = self.last[at] - self.first[at]
-        parts = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[at], n)
-        w = np.repeat(weights, n)
-        bound = np.bincount(self.block[parts], weights=w * self.top[parts], minlength=(self.n + BLOCK - 1) // BLOCK)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        block = self.block[parts]
-        docs, scores, done, step, least = [], [], 0, 4, 0.0
-        while done < len(order) and bound[order[done]] >= least * (1 - 1e-9):
-            now = np.zeros(len(bound), bool)
-            now[order[done : done + step]] = True
+        parts = _ranges(self.first[at], n)
+        w, block = np.repeat(weights, n), self.block[parts]
+        bound = np.bincount(block, weights=w * self.top[parts], minlength=self.n_blocks)
+        order = np.argsort(-bound)[:FIRST_BLOCKS]
+        docs, scores = [], []
+        now = np.zeros(self.n_blocks, bool)
+        now[order] = bound[order] > 0
+        todo = bound > 0
+        for _ in range(2):
+            now &= bound >= least * (1 - 1e-9)
             at = np.flatnonzero(now[block])
             p = parts[at]
             m = self.end[p] - self.start[p]
-            post = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(self.start[p], m)
-            score = np.bincount(self.doc[post], weights=self.impact[post] * np.repeat(w[at], m), minlength=1)
+            post = _ranges(self.start[p], m)
+            score = np.bincount(self.doc[post], weights=self.impact[post] * np.repeat(w[at], m))
             hit = np.flatnonzero(score)
             docs.append(hit)
             scores.append(score[hit])
-            done, step = done + step, step * 3
             so_far = np.concatenate(scores)
             if len(so_far) >= k:
-                least = np.partition(so_far, len(so_far) - k)[len(so_far) - k]
-        docs, scores = np.concatenate(docs), np.concatenate(scores)
-        good = scores >= least * (1 - 1e-9)
-        return docs[good], scores[good]
-
-
-def _search_shard(k: int, mean: float, id_type: pa.DataType):
-    names = ["query_id", "id", "score"]
-
-    def run(key, docs: pa.Table, queries: pa.Table) -> pa.Table:
-        flat = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy() if t.num_rows else np.zeros(0, np.int64)
-        lists = docs.column("terms").combine_chunks() if docs.num_rows else pa.array([], pa.list_(pa.int64()))
-        shard = Shard(docs.column("n").to_numpy(), lists.value_lengths().to_numpy() if docs.num_rows else np.zeros(0, np.int64), flat(docs, "terms"), flat(docs, "counts"), mean)
-        ids = docs.column("id").combine_chunks()
-        out_q, out_d, out_s = [], [], []
-        if queries.num_rows and docs.num_rows:
-            ends = np.cumsum(queries.column("terms").combine_chunks().value_lengths().to_numpy())
-            terms, weights = flat(queries, "terms"), flat(queries, "weights")
-            for q, (a, z) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
-                d, s = shard.search(terms[a:z], weights[a:z], k)
-                out_q.append(np.full(len(d), q))
-                out_d.append(d)
-                out_s.append(s)
-        if not out_q:
-            return pa.table({"query_id": pa.array([], id_type), "id": pa.array([], id_type), "score": pa.array([], pa.float64())})
-        q, d = np.concatenate(out_q), np.concatenate(out_d)
-        return pa.table([queries.column("query_id").combine_chunks().take(pa.array(q)), ids.take(pa.array(d)), pa.array(np.concatenate(out_s))], names=names)
+                least = max(least, float(np.partition(so_far, len(so_far) - k)[len(so_far) - k]))
+            now = todo.copy()
+            now[order] = False
+        good = so_far >= least * (1 - 1e-9)
+        return np.concatenate(docs)[good], so_far[good], least
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after another."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
+def _search_shards(asked: Broadcast, k: int, mean: float):
+    """For each shard of a task the k best of every query in ``asked``: (ids, ends, terms, weights)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, ends, terms, weights = asked.value
+        least = np.zeros(len(ends))
+        cuts = [0, *ends.tolist()]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = lambda c: batch.column(c)[i].values  # noqa: E731, B023
+                shard = Shard(*(part(c).to_numpy() for c in ("lengths", "terms", "held", "docs", "counts")), mean)
+                found = [(np.zeros(0, np.int64), np.zeros(0))]
+                for q in range(len(ends)):
+                    d, s, least[q] = shard.search(terms[cuts[q] : cuts[q + 1]], weights[cuts[q] : cuts[q + 1]], k, least[q])
+                    found.append((d, s))
+                of = np.repeat(np.arange(len(ends)), [len(d) for d, _ in found[1:]])
+                d, s = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(of)), part("ids").take(pa.array(d)), pa.array(s)], names=["query_id", "id", "score"])
 
     return run
 
 
-def top_k(df: DataFrame, is_query: Column, *, k: int = 10, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """(query_id, id, score, rank): for each row that ``is_query`` picks by its id, the k best of all rows."""
-    bags = written(map_texts(df, _bags, [("n", T.LongType()), ("terms", T.ArrayType(T.LongType())), ("counts", T.ArrayType(T.IntegerType()))], id_col=id_col, text_col=text_col), "bags")
-    total, mean = bags.agg(F.count("*"), F.avg("n")).first()
-    shards = max(1, math.ceil(total / shard_docs))
-    df_of = bags.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    asked = bags.where(is_query).select(F.col(id_col).alias("query_id"), F.explode(F.arrays_zip("terms", "counts")).alias("t"))
-    asked = asked.select("query_id", F.col("t.terms").alias("term"), F.col("t.counts").alias("qf"))
+def build_index(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """A row for each shard; texts are read once, and each document is shuffled once."""
+    spark = df.sparkSession
+    shards = max(1, math.ceil(df.count() / shard_docs))
+    bags = map_texts(df, _bags, [("n", T.LongType()), ("terms", T.ArrayType(T.LongType())), ("counts", T.ArrayType(T.IntegerType()))], id_col=id_col, text_col=text_col)
+    kind = bags.schema[id_col].dataType
+    long, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
+    fields = [("n_docs", T.LongType()), ("n_words", T.LongType()), ("ids", T.ArrayType(kind)), ("lengths", long), ("terms", long), ("held", ints), ("docs", ints), ("counts", ints)]
+    schema = T.StructType([T.StructField(n, t) for n, t in fields])
+    dealt = bags.select(F.col(id_col).alias("id"), "n", "terms", "counts", F.pmod(F.xxhash64(id_col, "n", "terms"), F.lit(shards)).cast("int").alias("shard"))
+    path = scratch(spark, "index")
+    # a file for each shard, so that shards spread evenly over tasks
+    dealt.groupBy("shard").applyInArrow(_build(to_arrow_type(kind)), schema).write.option("compression", "zstd").option("maxRecordsPerFile", 1).parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def weighted_queries(df: DataFrame, index: DataFrame, total: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(query_id, terms, weights) of the rows of ``df``: occurrences times the rarity of each term."""
+    bags = map_texts(df, _bags, [("n", T.LongType()), ("terms", T.ArrayType(T.LongType())), ("counts", T.ArrayType(T.IntegerType()))], id_col=id_col, text_col=text_col)
+    df_of = index.select(F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("held").alias("held")))).groupBy("term").agg(F.sum("held").alias("df"))
+    asked = bags.select(F.col(id_col).alias("query_id"), F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("counts").alias("qf"))))
     idf = F.log(F.lit(1.0) + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked.join(df_of, "term").select("query_id", "term", (F.col("qf") * idf).alias("weight"))
     pairs = F.sort_array(F.collect_list(F.struct("term", "weight")))
-    queries = weighted.groupBy("query_id").agg(pairs.alias("p")).select("query_id", F.col("p.term").alias("terms"), F.col("p.weight").alias("weights"))
-    queries = written(queries, "queries")
-    parts = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    queries = queries.select("*", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    docs = bags.select(F.col(id_col).alias("id"), "n", "terms", "counts", F.pmod(F.xxhash64(id_col, "n", "terms"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    kind = bags.schema[id_col].dataType
+    return weighted.groupBy("query_id").agg(pairs.alias("p")).select("query_id", F.col("p.term").alias("terms"), F.col("p.weight").alias("weights"))
+
+
+def top_k(
+    df: DataFrame,
+    is_query: Column,
+    *,
+    k: int = 10,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shard_docs: int = SHARD_DOCS,
+    query_terms: int = QUERY_TERMS,
+) -> DataFrame:
+    """(query_id, id, score, rank): for each row that ``is_query`` picks by its id, the k best of all rows."""
+    spark = df.sparkSession
+    index = build_index(df, id_col=id_col, text_col=text_col, shard_docs=shard_docs)
+    total, n_words = index.agg(F.sum("n_docs"), F.sum("n_words")).first()
+    total, mean = total or 0, (n_words or 0) / max(1, total or 0) or 1.0
+    queries = written(weighted_queries(df.where(is_query), index, total, id_col=id_col, text_col=text_col), "queries")
+    n_terms = queries.agg(F.sum(F.size("terms"))).first()[0] or 0
+    blocks = max(1, math.ceil(n_terms / query_terms))
+    kind = queries.schema["query_id"].dataType
     schema = T.StructType([T.StructField("query_id", kind), T.StructField("id", kind), T.StructField("score", T.DoubleType())])
-    found = docs.groupBy("shard", "part").cogroup(queries.groupBy("shard", "part")).applyInArrow(_search_shard(k, float(mean or 1.0) or 1.0, to_arrow_type(kind)), schema)
-    found = found.select("query_id", "id", F.round("score", 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_first("id"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    path = scratch(spark, "found")
+    for block in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        ends = np.cumsum(pa.compute.list_value_length(rows.column("terms")).to_numpy().astype(np.int64))
+        ids = pa.chunked_array(rows.column("query_id").chunks, to_arrow_type(kind)).combine_chunks()
+        asked = spark.sparkContext.broadcast((ids, ends, _flat(rows.column("terms")), _flat(rows.column("weights"))))
+        found = index.mapInArrow(_search_shards(asked, k, mean), schema).withColumn("score", F.round("score", 6))
+        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        ranked.write.mode("append").parquet(path)
+        asked.unpersist()
+    return spark.read.schema(ranked.schema).parquet(path)

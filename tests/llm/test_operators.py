@@ -428,7 +428,7 @@ def brute_search(table, queries, k):
 
 def test_search_against_brute_force(docs, texts, odd, none):
     got = defaultdict(list)
-    for r in search.top_k(docs, F.col("doc_id") % 20 == 0, k=7, shard_docs=60).orderBy("query_id", "rank").collect():
+    for r in search.top_k(docs, F.col("doc_id") % 20 == 0, k=7, shard_docs=60, query_terms=900).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.id, r.score))
     want = brute_search(list(texts.items()), [k for k in texts if k % 20 == 0], 7)
     assert got.keys() == want.keys()
