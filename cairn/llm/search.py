@@ -2,12 +2,15 @@
 
 Documents are dealt by hash into shards of a bounded number of documents. A shard's index is one
 row of a table, built once: its terms with their document frequencies, and each term's postings.
-Inside a shard documents that share their weightiest term are neighbours, in blocks of ``BLOCK``,
-and each term has the greatest impact of each block. For a query the greatest impacts, weighted,
-bound the score of every block; the blocks with the highest bounds are scored first, then those
-whose bound reaches the k-th best score so far, of this shard or of those searched before it in
-the same task. Document counts, lengths and document frequencies are global, so scores of different
-shards compare, and merging the shards' k best gives exactly the k best of all.
+Inside a shard documents that share their weightiest term are neighbours, in blocks of ``BLOCK``.
+For a query the terms are parted: the rarer ones are essential and scored from their postings; of
+those that more than one document in ``OFTEN`` holds, only the greatest impact in each block is
+used at first, which with the essential score bounds every document. The documents with the highest
+bounds are scored whole, then all whose bound reaches the k-th best score so far: of this shard, of
+those before it in the task, or of the seed shards. The seeds, about the square root of the
+number of shards, are searched first, and their merged k-th best prunes all others. Document
+counts, lengths and document frequencies are global, so scores of different shards compare, and
+merging the shards' k best gives exactly the k best of all.
 
 Queries are taken in blocks of ``QUERY_TERMS`` terms on average (16 bytes each), the only thing that
 is broadcast. Each block is one pass over the index, and its results are written before the next
@@ -38,12 +41,18 @@ from cairn.llm.common import map_texts
 from cairn.session import scratch, written
 
 K1, B = 1.2, 0.75
-BLOCK = 64
+BLOCK = 16
+#: A term in more than one document of so many is frequent.
+OFTEN = 6
 SHARD_DOCS = 6_000
 #: Terms of the queries that are searched at once: 32 MB.
 QUERY_TERMS = 2_000_000
-#: Blocks that are scored before the others are held against the k-th best.
-FIRST_BLOCKS = 6
+#: Documents that are scored whole before the others are held against the k-th best, at least.
+FIRST = 64
+#: Queries whose terms are looked up in a shard at once.
+LOOKED_UP = 256
+#: Scores are rounded to six places, so that much less than the k-th best may still tie with it.
+SLACK = 2e-6
 #: Documents of a shard that hold a term which may decide who is whose neighbour.
 SHARED = 5
 
@@ -93,6 +102,7 @@ def _build(id_type: pa.DataType):
         ids = pa.chunked_array(docs.column("id").chunks, id_type).combine_chunks().take(pa.array(order))
         return pa.table(
             {
+                "shard": pa.array([key[0].as_py()], pa.int32()),
                 "n_docs": pa.array([len(order)], pa.int64()),
                 "n_words": pa.array([int(lengths.sum())], pa.int64()),
                 "ids": pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), ids),
@@ -107,57 +117,83 @@ def _build(id_type: pa.DataType):
     return run
 
 
+class Asked:
+    """A block of queries: ids, where each one's terms end, its terms in order, and their weights."""
+
+    def __init__(self, rows: pa.Table, total: int, id_type: pa.DataType):
+        self.ids = pa.chunked_array(rows.column("query_id").chunks, id_type).combine_chunks()
+        self.cuts = np.append(0, np.cumsum(pa.compute.list_value_length(rows.column("terms")).to_numpy().astype(np.int64)))
+        self.terms, self.weights = _flat(rows.column("terms")), _flat(rows.column("weights"))
+        self.frequent = np.unique(self.terms[_flat(rows.column("dfs")) * OFTEN > total])
+        self.least = np.zeros(len(self.ids))
+
+
 class Shard:
-    """Postings sorted by term and document, in blocks of documents."""
+    """Postings sorted by term and document; impacts of the frequent terms by document and by block."""
 
-    def __init__(self, lengths: np.ndarray, terms: np.ndarray, held: np.ndarray, docs: np.ndarray, counts: np.ndarray, mean: float):
+    def __init__(self, row: dict[str, pa.Array], frequent: np.ndarray, mean: float):
+        lengths, self.terms, self.held, self.doc, counts = (row[c].to_numpy() for c in ("lengths", "terms", "held", "docs", "counts"))
         tf = counts.astype(np.float64)
-        self.terms, self.doc = terms, docs
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[docs] / mean))
-        block = docs // BLOCK
-        ends = np.cumsum(held, dtype=np.int64)
-        new = np.ones(len(docs), bool)
-        new[1:] = block[1:] != block[:-1]
-        new[ends[:-1]] = True
-        self.start = np.flatnonzero(new)
-        self.end = np.append(self.start[1:], len(docs))
-        self.top = np.maximum.reduceat(self.impact, self.start) if len(docs) else np.zeros(0)
-        self.block, self.n_blocks = block[self.start], (len(lengths) + BLOCK - 1) // BLOCK
-        self.first = np.searchsorted(self.start, ends - held)
-        self.last = np.append(self.first[1:], len(self.start))
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray, float]:
-        """Documents and scores of at least ``least`` and the k-th best, ties included; the greater of these two."""
-        at = np.searchsorted(self.terms, terms)
-        at[at == len(self.terms)] = 0
-        known = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        at, weights = at[known], weights[known]
-        n = self.last[at] - self.first[at]
-        parts = _ranges(self.first[at], n)
-        w, block = np.repeat(weights, n), self.block[parts]
-        bound = np.bincount(block, weights=w * self.top[parts], minlength=self.n_blocks)
-        order = np.argsort(-bound)[:FIRST_BLOCKS]
-        docs, scores = [], []
-        now = np.zeros(self.n_blocks, bool)
-        now[order] = bound[order] > 0
-        todo = bound > 0
-        for _ in range(2):
-            now &= bound >= least * (1 - 1e-9)
-            at = np.flatnonzero(now[block])
-            p = parts[at]
-            m = self.end[p] - self.start[p]
-            post = _ranges(self.start[p], m)
-            score = np.bincount(self.doc[post], weights=self.impact[post] * np.repeat(w[at], m))
-            hit = np.flatnonzero(score)
-            docs.append(hit)
-            scores.append(score[hit])
-            so_far = np.concatenate(scores)
-            if len(so_far) >= k:
-                least = max(least, float(np.partition(so_far, len(so_far) - k)[len(so_far) - k]))
-            now = todo.copy()
-            now[order] = False
-        good = so_far >= least * (1 - 1e-9)
-        return np.concatenate(docs)[good], so_far[good], least
+        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / mean))
+        self.begin = np.cumsum(self.held, dtype=np.int64) - self.held
+        # a column for each frequent term, present or not: scores are summed alike in all shards, so equal texts tie
+        self.column = np.full(len(self.terms), -1)
+        at, known = _positions(self.terms, frequent)
+        self.column[at[known]] = np.flatnonzero(known)
+        own = np.repeat(self.column, self.held)
+        often = np.flatnonzero(own >= 0)
+        self.whole = np.zeros((len(lengths), len(frequent)))
+        self.whole[self.doc[often], own[often]] = self.impact[often]
+        self.top = np.maximum.reduceat(self.whole, np.arange(0, len(lengths), BLOCK))
+        self.ids = row["ids"]
+        self.by_id = np.empty(len(lengths), np.int64)
+        self.by_id[pa.compute.sort_indices(self.ids, null_placement="at_start").to_numpy()] = np.arange(len(lengths))
+
+    def search(self, asked: Asked, k: int, least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, documents, scores): the k best that reach ``least``, which is raised on the way."""
+        for a in range(0, len(least), LOOKED_UP):
+            z = min(a + LOOKED_UP, len(least))
+            part = slice(asked.cuts[a], asked.cuts[z])
+            at, known = _positions(self.terms, asked.terms[part])
+            at, weight = at[known], asked.weights[part][known]
+            of = np.repeat(np.arange(z - a), np.diff(asked.cuts[a : z + 1]))[known]
+            column = self.column[at]
+            often, n = column >= 0, self.whole.shape[1]
+            weights = np.bincount(of[often] * n + column[often], weights=weight[often], minlength=(z - a) * n).reshape(z - a, n)
+            bounds = weights @ self.top.T
+            at, weight, cuts = at[~often], weight[~often], np.searchsorted(of[~often], np.arange(z - a + 1))
+            for q in range(z - a):
+                own = slice(cuts[q], cuts[q + 1])
+                found = self._best(at[own], weight[own], weights[q], bounds[q], k, least[a + q])
+                if found:
+                    docs, scores, least[a + q] = found
+                    yield a + q, docs, scores
+
+    def _best(self, at: np.ndarray, weight: np.ndarray, weights: np.ndarray, bounds: np.ndarray, k: int, least: float):
+        n = self.held[at]
+        post = _ranges(self.begin[at], n)
+        score = np.bincount(self.doc[post], weights=self.impact[post] * np.repeat(weight, n), minlength=len(self.whole))
+        bound = score + np.repeat(bounds, BLOCK)[: len(score)]
+        docs = np.flatnonzero(bound > max(least - SLACK, 0))
+        first = max(FIRST, 2 * k)
+        if len(docs) > first:
+            some = docs[np.argpartition(bound[docs], len(docs) - first)[len(docs) - first :]]
+            exact = score[some] + (self.whole[some] * weights).sum(axis=1)
+            least = max(least, float(np.partition(exact, first - k)[first - k]))
+            docs = docs[bound[docs] > max(least - SLACK, 0)]
+        exact = np.round(score[docs] + (self.whole[docs] * weights).sum(axis=1), 6)
+        good = np.flatnonzero((exact > 0) & (exact > least - SLACK))
+        if not len(good):
+            return None
+        best = good[np.lexsort((self.by_id[docs[good]], -exact[good]))[:k]]
+        return docs[best], exact[best], max(least, float(exact[best[-1]])) if len(best) == k else least
+
+
+def _positions(terms: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted term is among the sorted terms, and whether it is there."""
+    at = np.searchsorted(terms, wanted)
+    at[at == len(terms)] = 0
+    return at, terms[at] == wanted if len(terms) else np.zeros(len(wanted), bool)
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -165,28 +201,27 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
-def _search_shards(asked: Broadcast, k: int, mean: float):
-    """For each shard of a task the k best of every query in ``asked``: (ids, ends, terms, weights)."""
+def _search_shards(shared: Broadcast, k: int, mean: float):
+    """For each shard of a task the k best of every query in ``shared``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, ends, terms, weights = asked.value
-        least = np.zeros(len(ends))
-        cuts = [0, *ends.tolist()]
+        asked: Asked = shared.value
+        least = asked.least.copy()
         for batch in batches:
             for i in range(batch.num_rows):
-                part = lambda c: batch.column(c)[i].values  # noqa: E731, B023
-                shard = Shard(*(part(c).to_numpy() for c in ("lengths", "terms", "held", "docs", "counts")), mean)
-                found = [(np.zeros(0, np.int64), np.zeros(0))]
-                for q in range(len(ends)):
-                    d, s, least[q] = shard.search(terms[cuts[q] : cuts[q + 1]], weights[cuts[q] : cuts[q + 1]], k, least[q])
-                    found.append((d, s))
-                of = np.repeat(np.arange(len(ends)), [len(d) for d, _ in found[1:]])
-                d, s = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(of)), part("ids").take(pa.array(d)), pa.array(s)], names=["query_id", "id", "score"])
+                shard = Shard({c: batch.column(c)[i].values for c in INDEX_LISTS}, asked.frequent, mean)
+                found = list(shard.search(asked, k, least))
+                if found:
+                    of = np.repeat([q for q, _, _ in found], [len(d) for _, d, _ in found])
+                    docs, scores = (np.concatenate([f[c] for f in found]) for c in (1, 2))
+                    yield pa.RecordBatch.from_arrays([asked.ids.take(pa.array(of)), shard.ids.take(pa.array(docs)), pa.array(scores)], names=["query_id", "id", "score"])
 
     return run
 
 
+INDEX_LISTS = ("ids", "lengths", "terms", "held", "docs", "counts")
+
+
 def build_index(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS) -> DataFrame:
     """A row for each shard; texts are read once, and each document is shuffled once."""
     spark = df.sparkSession
@@ -194,7 +229,7 @@ def build_index(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     bags = map_texts(df, _bags, [("n", T.LongType()), ("terms", T.ArrayType(T.LongType())), ("counts", T.ArrayType(T.IntegerType()))], id_col=id_col, text_col=text_col)
     kind = bags.schema[id_col].dataType
     long, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
-    fields = [("n_docs", T.LongType()), ("n_words", T.LongType()), ("ids", T.ArrayType(kind)), ("lengths", long), ("terms", long), ("held", ints), ("docs", ints), ("counts", ints)]
+    fields = [("shard", T.IntegerType()), ("n_docs", T.LongType()), ("n_words", T.LongType()), ("ids", T.ArrayType(kind)), ("lengths", long), ("terms", long), ("held", ints), ("docs", ints), ("counts", ints)]
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
     dealt = bags.select(F.col(id_col).alias("id"), "n", "terms", "counts", F.pmod(F.xxhash64(id_col, "n", "terms"), F.lit(shards)).cast("int").alias("shard"))
     path = scratch(spark, "index")
@@ -204,14 +239,14 @@ def build_index(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
 
 def weighted_queries(df: DataFrame, index: DataFrame, total: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(query_id, terms, weights) of the rows of ``df``: occurrences times the rarity of each term."""
+    """(query_id, terms, weights, dfs) of the rows of ``df``; a weight is occurrences times the rarity of a term."""
     bags = map_texts(df, _bags, [("n", T.LongType()), ("terms", T.ArrayType(T.LongType())), ("counts", T.ArrayType(T.IntegerType()))], id_col=id_col, text_col=text_col)
     df_of = index.select(F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("held").alias("held")))).groupBy("term").agg(F.sum("held").alias("df"))
     asked = bags.select(F.col(id_col).alias("query_id"), F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("counts").alias("qf"))))
     idf = F.log(F.lit(1.0) + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.join(df_of, "term").select("query_id", "term", (F.col("qf") * idf).alias("weight"))
-    pairs = F.sort_array(F.collect_list(F.struct("term", "weight")))
-    return weighted.groupBy("query_id").agg(pairs.alias("p")).select("query_id", F.col("p.term").alias("terms"), F.col("p.weight").alias("weights"))
+    weighted = asked.join(df_of, "term").select("query_id", "term", (F.col("qf") * idf).alias("weight"), "df")
+    pairs = F.sort_array(F.collect_list(F.struct("term", "weight", "df")))
+    return weighted.groupBy("query_id").agg(pairs.alias("p")).select("query_id", F.col("p.term").alias("terms"), F.col("p.weight").alias("weights"), F.col("p.df").alias("dfs"))
 
 
 def top_k(
@@ -227,22 +262,34 @@ def top_k(
     """(query_id, id, score, rank): for each row that ``is_query`` picks by its id, the k best of all rows."""
     spark = df.sparkSession
     index = build_index(df, id_col=id_col, text_col=text_col, shard_docs=shard_docs)
-    total, n_words = index.agg(F.sum("n_docs"), F.sum("n_words")).first()
-    total, mean = total or 0, (n_words or 0) / max(1, total or 0) or 1.0
+    total, n_words, shards = index.agg(F.sum("n_docs"), F.sum("n_words"), F.max("shard") + 1).first()
+    total, shards, mean = total or 0, shards or 0, (n_words or 0) / max(1, total or 0) or 1.0
     queries = written(weighted_queries(df.where(is_query), index, total, id_col=id_col, text_col=text_col), "queries")
     n_terms = queries.agg(F.sum(F.size("terms"))).first()[0] or 0
-    blocks = max(1, math.ceil(n_terms / query_terms))
+    blocks, seeds = max(1, math.ceil(n_terms / query_terms)), math.isqrt(shards)
     kind = queries.schema["query_id"].dataType
     schema = T.StructType([T.StructField("query_id", kind), T.StructField("id", kind), T.StructField("score", T.DoubleType())])
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_first("id"))
     path = scratch(spark, "found")
     for block in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
-        ends = np.cumsum(pa.compute.list_value_length(rows.column("terms")).to_numpy().astype(np.int64))
-        ids = pa.chunked_array(rows.column("query_id").chunks, to_arrow_type(kind)).combine_chunks()
-        asked = spark.sparkContext.broadcast((ids, ends, _flat(rows.column("terms")), _flat(rows.column("weights"))))
-        found = index.mapInArrow(_search_shards(asked, k, mean), schema).withColumn("score", F.round("score", 6))
-        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        ranked.write.mode("append").parquet(path)
-        asked.unpersist()
-    return spark.read.schema(ranked.schema).parquet(path)
+        asked = Asked(rows, total, to_arrow_type(kind))
+
+        def found(part: Column, shared: Broadcast) -> DataFrame:
+            return index.where(part).select(*INDEX_LISTS).mapInArrow(_search_shards(shared, k, mean), schema)
+
+        first = spark.sparkContext.broadcast(asked)
+        best = written(_ranked(found(F.col("shard") < seeds, first), order, k), "seeds")
+        reached = best.where(F.col("rank") == k).select("query_id", "score").toArrow()
+        at = pa.compute.index_in(asked.ids, value_set=reached.column("query_id")).to_numpy(zero_copy_only=False)
+        asked.least = np.append(reached.column("score").to_numpy(), 0.0)[np.nan_to_num(at, nan=len(reached)).astype(np.int64)]
+        then = spark.sparkContext.broadcast(asked)
+        rest = found(F.col("shard") >= seeds, then)
+        _ranked(rest.union(best.drop("rank")), order, k).write.mode("append").parquet(path)
+        first.unpersist()
+        then.unpersist()
+    return spark.read.schema(best.schema).parquet(path)
+
+
+def _ranked(found: DataFrame, order: Window, k: int) -> DataFrame:
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
