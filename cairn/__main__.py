@@ -12,6 +12,7 @@ import time
 
 from cairn.functions.checks import human
 from cairn.session import local_session, prepare
+from cairn.sources import bytestore
 from cairn.store import SnapshotStore
 
 
@@ -50,11 +51,25 @@ def dedup_scenarios(store: SnapshotStore, root: str) -> list[dict]:
     return [{"scenario": n, "actual": s["logical_bytes"], "stored": s["stored_bytes"], "saved_pct": round(100 * (1 - s["stored_bytes"] / max(1, s["logical_bytes"])), 1)} for n, s in rows]
 
 
+def import_store(store: SnapshotStore, folder: str) -> list[dict]:
+    """Take over every snapshot of a store in the byte format; files are cut and named anew."""
+    spark = store.spark
+    kinds = bytestore.read_manifests(spark, folder).select("snapshot", "is_directory").distinct().collect()
+    return [{"snapshot": r.snapshot, **store.ingest(bytestore.read_files(spark, folder, r.snapshot), r.snapshot, r.is_directory)} for r in sorted(kinds)]
+
+
+def export_store(store: SnapshotStore, folder: str) -> dict:
+    """Write all snapshots, and the objects in force, in the byte format."""
+    entries = store.entries()
+    bytestore.export(store.objects().join(store.index(), ["digest", "pack_id", "offset"]), entries, folder)
+    return {"snapshots": entries.select("snapshot").distinct().count()}
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="cairn")
     parser.add_argument("store")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, args in {"backup": ["path", "name"], "restore": ["name", "out"], "list": [], "remove": ["name"], "info": ["name"], "checkpoint": [], "benchmark": ["path"], "dedup-bench": ["path"]}.items():
+    for name, args in {"backup": ["path", "name"], "restore": ["name", "out"], "list": [], "remove": ["name"], "info": ["name"], "checkpoint": [], "benchmark": ["path"], "dedup-bench": ["path"], "import": ["folder"], "export": ["folder"]}.items():
         p = commands.add_parser(name)
         for a in args:
             p.add_argument(a)
@@ -87,6 +102,10 @@ def main(argv: list[str] | None = None) -> None:
             out = roundtrip(store, a.path)
         case "dedup-bench":
             out = dedup_scenarios(store, a.path)
+        case "import":
+            out = import_store(store, a.folder)
+        case "export":
+            out = export_store(store, a.folder)
     for row in out if isinstance(out, list) else [out]:
         print(row if isinstance(row, str) else json.dumps(row))
 
