@@ -2,6 +2,17 @@
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
+OP5 = rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS ws FROM documents),
+c AS (SELECT count(*) AS n_docs, avg(len(ws)) AS mean FROM t),
+tf AS (SELECT doc_id, w, n, count(*) AS f FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS w FROM t) GROUP BY ALL),
+df AS (SELECT w, count(*) AS d FROM tf GROUP BY w),
+q AS (SELECT doc_id AS query_id, w, f * ln(1 + (n_docs - d + 0.5e0) / (d + 0.5e0)) AS weight FROM tf JOIN df USING (w), c WHERE doc_id % 50 = 0),
+i AS (SELECT doc_id, w, f * 2.2e0 / (f + 1.2e0 * (0.25e0 + 0.75e0 * n / mean)) AS impact FROM tf, c),
+s AS (SELECT query_id, doc_id, round(sum(weight * impact), 6) AS score FROM q JOIN i USING (w) GROUP BY ALL)
+SELECT query_id, doc_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
 OP6 = rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '{WORDS}') AS ws FROM docs),
@@ -69,4 +80,4 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN a USING (doc_id)
 """
 
-ORACLE = {"op2_pii": OP2, "op6_quality_rules": OP6, "op10_site_lines": OP10}
+ORACLE = {"op2_pii": OP2, "op5_bm25": OP5, "op6_quality_rules": OP6, "op10_site_lines": OP10}

@@ -440,6 +440,20 @@ def test_search_against_brute_force(docs, texts, odd, none):
     assert search.top_k(none, F.col("doc_id") % 5 == 0).count() == 0
 
 
+def test_search_ties_and_odd_ids(spark):
+    """300 copies tie exactly in every shard and go by id; text ids and a null one work; a query's own words alone count."""
+    rows_ = [(f"c{i:03d}", "Same words here and there") for i in range(300)] + [(f"z{i}", f"other there {i} " * (i + 1)) for i in range(40)] + [(None, "same here"), ("lone", "nowhere"), ("mute", " ")]
+    table = spark.createDataFrame(rows_, "doc_id string, text string").repartition(5)
+    asked = F.col("doc_id").isin("c000", "c150", "lone", "mute", "z7")
+    got = defaultdict(list)
+    for r in search.top_k(table, asked, k=12, shard_docs=30, query_terms=4).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.id, r.score))
+    assert [i for i, _ in got["c000"]] == [i for i, _ in got["c150"]] == [f"c{i:03d}" for i in range(12)]
+    assert len({s for _, s in got["c000"]}) == 1
+    assert [i for i, _ in got["lone"]] == ["lone"] and "mute" not in got
+    assert len(got["z7"]) == 12 and all(i.startswith("z") for i, _ in got["z7"])
+
+
 # ---- shards
 
 
