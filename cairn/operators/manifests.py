@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Files in a part of a manifest, about.
+PART_FILES = 10_000
+
 MANIFEST = "is_directory boolean, files array<struct<path:string,size:bigint,mode:int,chunks:array<string>>>"
 
 
@@ -15,10 +18,16 @@ def file_entries(files: DataFrame, chunks: DataFrame) -> DataFrame:
     return joined.select("snapshot", "path", "size", "mode", F.coalesce(F.col("c.digest"), F.array().cast("array<string>")).alias("chunks"))
 
 
-def to_json(entries: DataFrame, is_directory: bool = True) -> DataFrame:
-    """(snapshot, manifest): one JSON document for each snapshot, files in order of path."""
+def to_json(entries: DataFrame, is_directory: bool = True, part_files: int = PART_FILES) -> DataFrame:
+    """(snapshot, part, manifest): a snapshot's files as JSON documents, each in order of path.
+
+    A file's part is the hash of its path over as many parts as the snapshot needs, so no document,
+    and no task, has to hold a whole snapshot; the parts together list each file once.
+    """
+    parts = entries.groupBy("snapshot").agg(F.ceil(F.count("*") / part_files).alias("n_parts"))
+    dealt = entries.join(parts, "snapshot").withColumn("part", F.pmod(F.xxhash64("path"), F.col("n_parts")))
     files = F.sort_array(F.collect_list(F.struct("path", "size", "mode", "chunks"))).alias("files")
-    return entries.groupBy("snapshot").agg(files).select("snapshot", F.to_json(F.struct(F.lit(is_directory).alias("is_directory"), "files")).alias("manifest"))
+    return dealt.groupBy("snapshot", "part").agg(files).select("snapshot", "part", F.to_json(F.struct(F.lit(is_directory).alias("is_directory"), "files")).alias("manifest"))
 
 
 def from_json(text: Column) -> Column:

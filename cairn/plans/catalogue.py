@@ -18,6 +18,7 @@ from cairn.functions.chunking import digest
 from cairn.operators import dedup, gc, manifests
 from cairn.operators import index as ix
 from cairn.plans.oracle import ORACLE as SQL
+from cairn.session import written
 
 PACK = 256 << 10
 REMOVED = "src0"
@@ -48,21 +49,26 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).select("snapshot", "path", "chunk_idx", "digest")
 
 
-def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The references with their lengths, written once for queries that need them more than once."""
+    return written(chunks(spark, sf_dir).select("snapshot", "path", "chunk_idx", "digest", "length"), "refs")
+
+
+def objects(refs: DataFrame) -> DataFrame:
     """All distinct chunks in packs; payloads count as stored raw."""
-    distinct = chunks(spark, sf_dir).groupBy("digest").agg(F.first("length").alias("stored_size"))
-    return dedup.place(distinct, PACK)
+    return dedup.place(refs.groupBy("digest").agg(F.first("length").alias("stored_size")), PACK)
 
 
-def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+def index(objects: DataFrame) -> DataFrame:
     """The index of ``objects``, without digests that begin with ``00`` and with those of ``01`` placed elsewhere."""
     moved = F.when(F.col("digest").startswith("01"), F.col("offset") + 7).otherwise(F.col("offset"))
-    return objects(spark, sf_dir).where(~F.col("digest").startswith("00")).select("digest", "pack_id", moved.alias("offset"))
+    return objects.where(~F.col("digest").startswith("00")).select("digest", "pack_id", moved.alias("offset"))
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = refs(spark, sf_dir).where(F.col("snapshot") != REMOVED)
-    return gc.classify(objects(spark, sf_dir), index(spark, sf_dir), gc.live(left))
+    held = stored_refs(spark, sf_dir)
+    at = written(objects(held), "objects")
+    return gc.classify(at, index(at), gc.live(held.where(F.col("snapshot") != REMOVED)))
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +78,10 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select((F.col("event_id") + 1).alias("lsn"), op.alias("op"), key.alias("digest"), F.floor(F.col("event_id") / 1000).alias("pack_id"), (F.col("event_id") * 53).alias("offset"))
 
 
+def last_lsn(records: DataFrame) -> int:
+    return records.agg(F.max("lsn")).first()[0] or 0
+
+
 @query
 def file_inventory(spark, sf):
     return files(spark, sf).select("snapshot", "path", "size")
@@ -111,14 +121,15 @@ def dedup_growth(spark, sf):
 
 @query
 def incremental_new_chunks(spark, sf):
-    all_chunks = chunks(spark, sf)
-    new = dedup.new_objects(all_chunks.where("snapshot = 'src1'"), all_chunks.where("snapshot = 'src0'"))
+    """What all other snapshots add to a store that holds one."""
+    held = stored_refs(spark, sf)
+    new = dedup.new_objects(held.where(F.col("snapshot") != REMOVED), held.where(F.col("snapshot") == REMOVED))
     return new.select("digest", F.col("length").cast("bigint").alias("length"))
 
 
 @query
 def pack_assignment(spark, sf):
-    return objects(spark, sf).select("digest", F.col("stored_size").cast("bigint").alias("stored_size"), "pack_id", "offset")
+    return objects(chunks(spark, sf)).select("digest", F.col("stored_size").cast("bigint").alias("stored_size"), "pack_id", "offset")
 
 
 @query
@@ -129,14 +140,16 @@ def index_replay(spark, sf):
 @query
 def checkpoint_replay(spark, sf):
     """A checkpoint of the log's first half, and the rest of the log on top."""
-    records = log(spark, sf).where("lsn <= 1000000000")
-    half = 5_000
+    records = log(spark, sf)
+    half = last_lsn(records) // 2
     return ix.replay(records, ix.replay(records.where(F.col("lsn") <= half)), half)
 
 
 @query
 def wal_valid_prefix(spark, sf):
-    marked = log(spark, sf).select("lsn", "op", "digest", (F.col("lsn") % 9000 != 0).alias("ok"))
+    """The log before a corrupt record at nine tenths of it."""
+    records = log(spark, sf)
+    marked = records.select("lsn", "op", "digest", (F.col("lsn") != last_lsn(records) * 9 // 10).alias("ok"))
     return ix.valid_prefix(marked, "lsn").select("lsn", F.col("op").cast("int").alias("op"), "digest")
 
 
@@ -147,20 +160,20 @@ def index_rebuild(spark, sf):
 
 @query
 def index_lookup(spark, sf):
-    """Where each reference of a snapshot is stored."""
-    wanted = refs(spark, sf).where("snapshot = 'src3'")
-    return wanted.join(index(spark, sf), "digest").select("path", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "digest", "pack_id", "offset")
+    """Where each reference is stored."""
+    held = stored_refs(spark, sf)
+    return held.join(index(objects(held)), "digest").select("snapshot", "path", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "digest", "pack_id", "offset")
 
 
 @query
 def latest_pack(spark, sf):
-    return ix.latest_pack(objects(spark, sf))
+    return ix.latest_pack(objects(chunks(spark, sf)))
 
 
 @query
 def manifest_refs(spark, sf):
-    """References read back from each snapshot's manifest as JSON."""
-    entries = manifests.file_entries(files(spark, sf), chunks(spark, sf))
+    """References read back from each snapshot's manifest as JSON, in parts of bounded size."""
+    entries = written(manifests.file_entries(files(spark, sf), chunks(spark, sf)), "entries")
     text = manifests.to_json(entries).select("snapshot", manifests.from_json(F.col("manifest")).alias("m"))
     read = text.select("snapshot", F.explode("m.files").alias("f")).select("snapshot", "f.path", "f.size", "f.mode", "f.chunks")
     return manifests.refs(read).select("snapshot", "path", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "digest")
@@ -199,12 +212,14 @@ def gc_compact_plan(spark, sf):
 
 @query
 def dangling_refs(spark, sf):
-    return gc.audit(refs(spark, sf), index(spark, sf))
+    held = stored_refs(spark, sf)
+    return gc.audit(held, index(objects(held)))
 
 
 @query
 def dangling_digests(spark, sf):
-    return gc.live(gc.dangling(refs(spark, sf), index(spark, sf)))
+    held = stored_refs(spark, sf)
+    return gc.live(gc.dangling(held, index(objects(held))))
 
 
 @query

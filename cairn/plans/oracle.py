@@ -43,13 +43,13 @@ ORACLE = {
     "dedup_growth": _with(CHUNKS, """SELECT snapshot, refs, logical_bytes, coalesce(new_objects, 0) AS new_objects, coalesce(new_bytes, 0)::BIGINT AS new_bytes, round(100.0::DOUBLE * (1.0::DOUBLE - coalesce(new_bytes, 0) / logical_bytes), 4) AS saved_pct
       FROM (SELECT snapshot, count(*) AS refs, sum(length)::BIGINT AS logical_bytes FROM chunks GROUP BY snapshot)
       LEFT JOIN (SELECT snapshot, count(*) AS new_objects, sum(length) AS new_bytes FROM (SELECT digest, min(snapshot) AS snapshot, first(length) AS length FROM chunks GROUP BY digest) GROUP BY snapshot) USING (snapshot)"""),
-    "incremental_new_chunks": _with(CHUNKS, "SELECT DISTINCT digest, length FROM chunks WHERE snapshot = 'src1' AND digest NOT IN (SELECT digest FROM chunks WHERE snapshot = 'src0')"),
+    "incremental_new_chunks": _with(CHUNKS, "SELECT DISTINCT digest, length FROM chunks WHERE snapshot <> 'src0' AND digest NOT IN (SELECT digest FROM chunks WHERE snapshot = 'src0')"),
     "pack_assignment": _with(OBJECTS, "SELECT * FROM objects"),
     "index_replay": _REPLAY,
     "checkpoint_replay": _REPLAY,
-    "wal_valid_prefix": _with(LOG, "SELECT lsn, op::INT AS op, digest FROM log WHERE lsn < coalesce((SELECT min(lsn) FROM log WHERE lsn % 9000 = 0), 9223372036854775807)"),
+    "wal_valid_prefix": _with(LOG, "SELECT lsn, op::INT AS op, digest FROM log WHERE lsn < coalesce((SELECT max(lsn) * 9 // 10 FROM log), 9223372036854775807)"),
     "index_rebuild": _with(LOG, """SELECT digest, r.pack_id AS pack_id, r."offset" AS "offset" FROM (SELECT digest, max({'pack_id': pack_id, 'offset': "offset"}) AS r FROM log WHERE op = 1 GROUP BY digest)"""),
-    "index_lookup": _with(OBJECTS, 'SELECT path, chunk_idx, digest, ind.pack_id, ind."offset" FROM chunks JOIN ind USING (digest) WHERE snapshot = \'src3\''),
+    "index_lookup": _with(OBJECTS, 'SELECT snapshot, path, chunk_idx, digest, ind.pack_id, ind."offset" FROM chunks JOIN ind USING (digest)'),
     "latest_pack": _with(OBJECTS, "SELECT coalesce(max(pack_id), 0)::BIGINT AS latest_pack_id FROM objects"),
     "manifest_refs": _with(CHUNKS, "SELECT snapshot, path, chunk_idx, digest FROM chunks"),
     "live_objects": _with(CHUNKS, "SELECT DISTINCT digest FROM chunks WHERE snapshot <> 'src0'"),

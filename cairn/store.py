@@ -199,22 +199,30 @@ class SnapshotStore:
         with self._lock():
             self.verify_checkpoint()
             files = files.select(F.lit(name).alias("snapshot"), "path", "size", "mode", "content")
-            pieces = cut(files)
-            refs = pieces.select("snapshot", "path", "chunk_idx", "length", "digest")
-            new = pieces.dropDuplicates(["digest"]).select("digest", "bytes").join(self.index().select("digest"), "digest", "left_anti")
+            batch = uuid.uuid4().hex
+            # Files are cut once; what is then moved is names, and the bytes of files that have new chunks.
+            self._publish(cut(files).drop("bytes"), "staged", f"{batch}-refs")
+            refs = self.spark.read.parquet(self._p("staged", f"{batch}-refs"))
+            new = refs.groupBy("digest").agg(F.min(F.struct("path", "offset", "length")).alias("at")).join(self.index().select("digest"), "digest", "left_anti")
+            self._publish(new.groupBy("at.path").agg(F.collect_list(F.struct("at.offset", "at.length", "digest")).alias("wanted")), "staged", f"{batch}-new")
+            wanted = self.spark.read.parquet(self._p("staged", f"{batch}-new"))
+            part = F.transform("wanted", lambda w: F.struct(w["digest"].alias("digest"), F.substring(F.col("content"), w["offset"] + 1, w["length"]).alias("bytes")))
+            new = files.join(wanted, "path").select(F.inline(part))
+            changed = F.raise_error(F.lit("a file changed, or two files share a path")).cast("binary")
+            new = new.select("digest", F.when(F.sha2("bytes", 256) == F.col("digest"), F.col("bytes")).otherwise(changed).alias("bytes"))
             packed = new.select("digest", F.length("bytes").cast("bigint").alias("original_size"), codec.encoded("bytes").alias("s"))
             packed = packed.select("digest", "s.codec", "original_size", F.length("s.payload").cast("bigint").alias("stored_size"), F.crc32("s.payload").alias("payload_crc"), "s.payload")
-            batch = uuid.uuid4().hex
             self._publish(packed, "staged", batch)  # compressed once; placement needs only the sizes
             staged = self.spark.read.parquet(self._p("staged", batch))
             at = dedup.place(staged.select("digest", "stored_size"), self.pack_bytes, self._next_pack())
             placed = staged.join(at.select("digest", "pack_id", "offset"), "digest").select(*[c.split()[0] for c in OBJECT.split(", ")])
             self._publish(placed, "objects", f"batch={batch}")
-            self._drop("staged", batch)
             stored = self.spark.read.schema(OBJECT).parquet(self._p("objects", f"batch={batch}"))
             self._append(stored.select(F.lit(ix.INSERT).cast("tinyint").alias("op"), "digest", "pack_id", "offset"))
             entries = manifests.file_entries(files, refs).withColumn("is_directory", F.lit(is_directory))
             self._publish(entries, "manifests", name)
+            for folder in (batch, f"{batch}-refs", f"{batch}-new"):
+                self._drop("staged", folder)
             t = stored.agg(F.count("*").alias("new_objects"), F.coalesce(F.sum("stored_size"), F.lit(0)).alias("stored_bytes")).first()
             e = self.entries().where(F.col("snapshot") == name).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
             return {"files": e[0], "logical_bytes": e[1], **t.asDict()}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import gc
 from cairn.operators import index as ix
+from cairn.operators import manifests
 from cairn.store import IndexUnavailable, SnapshotStore, StoreError
 
 
@@ -110,3 +111,28 @@ def test_log_rules(spark):
 def test_pack_selection_threshold(spark):
     stats = spark.createDataFrame([(0, 50, 50), (1, 51, 49), (2, 0, 0), (3, 0, 10), (4, 10, 10)], "pack_id long, live_bytes long, garbage_bytes long")
     assert [r.pack_id for r in gc.select_packs(stats).collect()] == [3, 0, 4]
+
+
+def test_paths_must_be_unique_and_repeats_are_stored_once(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    schema = "path string, size bigint, mode int, content binary"
+    same = random.Random(5).randbytes(30_000)
+    rows = [(f"f{i}", len(same), 0, bytearray(same)) for i in range(6)]
+    first = store.ingest(spark.createDataFrame(rows, schema), "same")
+    refs = store.refs().count()
+    assert first["files"] == 6 and refs == 6 * first["new_objects"] == 6 * store.objects().count()
+    mixed = [("x", 3000, 0, bytearray(b"a" * 3000)), ("x", 3000, 0, bytearray(b"b" * 3000))]
+    with pytest.raises(Exception, match="share a path"):
+        store.ingest(spark.createDataFrame(mixed, schema), "mixed")
+    assert [r.name for r in store.list().collect()] == ["same"] and store.refs().count() == refs
+    assert store.ingest(spark.createDataFrame(rows[:2], schema), "again")["new_objects"] == 0
+    assert store.ingest(spark.createDataFrame([], schema), "empty")["files"] == 0
+
+
+def test_manifest_in_parts_lists_each_file_once(spark):
+    entries = spark.range(50).selectExpr("if(id < 40, 'big', 'small') AS snapshot", "string(id) AS path", "id AS size", "0 AS mode", "array(sha2(string(id), 256)) AS chunks")
+    text = manifests.to_json(entries, part_files=7)
+    assert text.where("snapshot = 'big'").count() > 1
+    read = text.select("snapshot", manifests.from_json(F.col("manifest")).alias("m")).select("snapshot", F.explode("m.files").alias("f")).select("snapshot", "f.path", "f.size", "f.mode", "f.chunks")
+    assert sorted(map(str, read.collect())) == sorted(map(str, entries.collect()))
+    assert manifests.to_json(entries).count() == 2
