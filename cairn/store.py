@@ -206,8 +206,9 @@ class SnapshotStore:
             new = refs.groupBy("digest").agg(F.min(F.struct("path", "offset", "length")).alias("at")).join(self.index().select("digest"), "digest", "left_anti")
             self._publish(new.groupBy("at.path").agg(F.collect_list(F.struct("at.offset", "at.length", "digest")).alias("wanted")), "staged", f"{batch}-new")
             wanted = self.spark.read.parquet(self._p("staged", f"{batch}-new"))
-            part = F.transform("wanted", lambda w: F.struct(w["digest"].alias("digest"), F.substring(F.col("content"), w["offset"] + 1, w["length"]).alias("bytes")))
-            new = files.join(wanted, "path").select(F.inline(part))
+            each = files.join(wanted, "path").select("content", F.explode("wanted").alias("w"))
+            each = each.select("w.digest", F.substring("content", F.col("w.offset") + 1, F.col("w.length")).alias("bytes"))
+            new = each.repartition("digest")  # a large file's chunks are compressed by many tasks, without the file beside each
             changed = F.raise_error(F.lit("a file changed, or two files share a path")).cast("binary")
             new = new.select("digest", F.when(F.sha2("bytes", 256) == F.col("digest"), F.col("bytes")).otherwise(changed).alias("bytes"))
             packed = new.select("digest", F.length("bytes").cast("bigint").alias("original_size"), codec.encoded("bytes").alias("s"))
