@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.llm import similar
 from cairn.llm.common import map_texts
 from cairn.llm.graph import components
 from cairn.session import written
@@ -138,10 +139,11 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The document with the least doc_id of every group, with all its columns.
 
+    Groups are those of ``similar``: five-word shingles at a similarity of 0.8, not the fingerprints.
     Rows that share a doc_id are one document and one of them stays. Rows without a doc_id cannot
     be named as a copy of another, so they all stay.
     """
-    labels = near_duplicates(docs)
+    labels = similar.near_duplicates(docs)
     kept = written(labels.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct(), "kept")
     named = docs.join(kept, docs["doc_id"] == kept["__kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where(F.col("doc_id").isNull()))

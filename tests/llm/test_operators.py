@@ -12,7 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, lines, packing, pii, quality, search, sharding, simhash, suffixes, wordpiece
+from cairn.llm import bpe, lines, packing, pii, quality, search, sharding, similar, simhash, suffixes, wordpiece
 from cairn.session import scratch
 
 from .conftest import CLASH, ODD, SF
@@ -147,6 +147,56 @@ def test_simhash_odd(odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def brute_similar(table):
+    """table: id -> text; the least id reachable over pairs of Jaccard similarity 0.8 or more of five-word shingles."""
+    sets = {}
+    for k, t in table.items():
+        w = WORD.findall(t.translate({c: c + 32 for c in range(65, 91)}))
+        sets[k] = {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {" ".join(w)} - {""}
+    root = {k: k for k in table}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] == sets[b] or 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {k: find(k) for k in table}
+
+
+def test_deduplicate_against_brute_jaccard(spark, docs, texts):
+    want = brute_similar(texts)
+    assert {r.doc_id: r.component_id for r in similar.near_duplicates(docs).collect()} == want
+    assert {r.doc_id for r in simhash.deduplicate(docs).collect()} == set(want.values())
+    assert want[177] == 1 and want[145] == 6  # 11 and 7 bits apart
+
+
+def test_similar_on_tangled_edits(spark):
+    """Groups around a base, chains, pairs just at and just under the threshold, and a passage that all share."""
+    rng = random.Random(19)
+    made = ["", " ", "a b c", "A  b c", "a b c d", *(" ".join(f"e{i}" for i in range(n)) for n in (8, 9, 12, 13, 14, 49, 59))]
+    passage = [f"p{i}" for i in range(30)]
+    for g in range(12):
+        words = [f"g{g}w{rng.randrange(400)}" for _ in range(rng.choice([20, 60, 150]))] + passage * (g % 2)
+        for _ in range(rng.choice([2, 9, 25])):
+            made.append(" ".join(words))
+            edited = [*words]
+            for _ in range(rng.choice([1, 1, 2, 4])):
+                edited[rng.randrange(len(edited))] = f"x{rng.randrange(10**6)}"
+            made.append(" ".join(edited))
+            if g % 3 == 0:
+                words = edited
+    table = dict(enumerate(made))
+    df = spark.createDataFrame([*table.items()], "doc_id long, text string").repartition(3)
+    want = brute_similar(table)
+    assert 20 < len(set(want.values())) < len(made) - 50
+    assert {r.doc_id: r.component_id for r in similar.near_duplicates(df).collect()} == want
+
+
 # ---- suffixes
 
 
