@@ -3,7 +3,9 @@
 Only column expressions. For each kind the matches and the pieces of text between them come from
 one pattern each; a span starts at the summed lengths of what precedes it. Patterns use possessive
 repeats and look-behinds so that they take time linear in the text and no stack, and find what
-their plain forms find. Offsets are code points, ends exclusive.
+their plain forms find. Of an account number the pattern only takes the head and looks at what may
+follow; the span is the longest run of whole words whose checksum holds, so a word, a number or
+another account number after it does no harm. Offsets are code points, ends exclusive.
 
 Base kinds (email, ip, card, phone) are accepted by their pattern and validator alone; context
 only raises their score. Added kinds (iban, ssn, secret) need a checksum or a context word.
@@ -64,6 +66,14 @@ def mod97(m: Column) -> Column:
     return F.length(s).between(15, 34) & (F.aggregate(F.split(turned, "(?!^|$)"), F.lit(0), add) == 1)
 
 
+def account_number(m: Column) -> Column:
+    """The longest run of whole words at the start of ``m`` that is an account number, or null."""
+    words = F.split(m, " ")
+    n = F.size(words)
+    starts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(words, F.lit(1), n - i), " "))
+    return F.get(F.filter(starts, lambda x: ~x.rlike("[a-z]") & mod97(x)), F.lit(0))
+
+
 def social_number(m: Column) -> Column:
     return ~m.rlike("^(?:000|666|9)|-00-|0000$")
 
@@ -80,6 +90,8 @@ class Kind:
     score: float  # of a valid match without context
     context: str  # pattern over the lower-cased text before a match
     needs: str = ""  # a character that every match has
+    head: int = 0  # where over 0, a match takes only so many characters, and what follows is looked at as group 1
+    cut: Callable[[Column], Column] | None = None  # what of the group is the span, or null
 
 
 #: The kinds in the order of the results.
@@ -88,7 +100,7 @@ KINDS = [
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", octets, 0.7, "address|host|server|ip", "."),
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){12,}+", luhn, 0.8, "card|visa|credit|payment"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", phone_digits, 0.7, "phone|call|tel|mobile|fax", "+"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", mod97, 0.8, "iban|account|bank"),
+    Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))[A-Z]{2}[0-9]{2}", anything, 0.8, "iban|account|bank", head=4, cut=account_number),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", social_number, 0.3, "ssn|social|tax", "-"),
     Kind("secret", r"(?<![0-9A-Za-z])[0-9a-f]{32,128}+(?![0-9A-Za-z])", anything, 0.3, "token|secret|passw|api.?key|credential"),
 ]
@@ -97,7 +109,7 @@ SPAN = "struct<kind:string,start:bigint,end:bigint,score:double>"
 _FOUND = "array<struct<start:bigint,m:string,ctx:string>>"
 
 
-def _placed(matches: Column, pieces: Column) -> Column:
+def _placed(kind: Kind, matches: Column, pieces: Column) -> Column:
     """Matches with their starts: sums within blocks, then over blocks, so many matches cost little more each."""
     pairs = F.zip_with(
         matches,
@@ -109,7 +121,7 @@ def _placed(matches: Column, pieces: Column) -> Column:
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + x["gap"]
         return F.struct(
-            (start + F.length(x["m"])).cast("bigint").alias("pos"),
+            (start + (F.lit(kind.head) if kind.head else F.length(x["m"]))).cast("bigint").alias("pos"),
             F.concat(acc["out"], F.array(F.struct(start.alias("start"), x["m"].alias("m"), x["ctx"].alias("ctx")))).alias("out"),
         )
 
@@ -127,6 +139,8 @@ def _scored(kind: Kind, found: Column) -> Column:
     def score(o: Column) -> Column:
         return F.when(o["ctx"].rlike(kind.context), F.least(F.lit(kind.score + 0.3), F.lit(1.0))).otherwise(F.lit(kind.score))
 
+    if kind.cut:
+        found = F.filter(F.transform(found, lambda o: F.struct(o["start"].alias("start"), kind.cut(o["m"]).alias("m"), o["ctx"].alias("ctx"))), lambda o: o["m"].isNotNull())
     accepted = F.filter(found, lambda o: kind.valid(o["m"]) & (score(o) >= THRESHOLD))
     return F.transform(
         accepted,
@@ -138,12 +152,12 @@ def with_spans(df: DataFrame, text_col: str = "text", out: str = "__pii_spans")
     """Every column of ``df`` and the spans found in whole texts, by kind as listed, then start."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     keep = [F.col(f"`{c}`") for c in df.columns]
-    matches = [F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0)) for k in KINDS]
+    matches = [F.regexp_extract_all(text, F.lit(k.pattern), F.lit(int(k.head > 0))) for k in KINDS]
     matches = [F.when(F.contains(text, F.lit(k.needs)), m).otherwise(F.array().cast("array<string>")) if k.needs else m for k, m in zip(KINDS, matches, strict=True)]
     step = df.select(*keep, *[m.alias(f"__pii_m{i}") for i, m in enumerate(matches)])
     pieces = [F.when(F.size(f"__pii_m{i}") > 0, F.split(text, k.pattern, -1)).otherwise(F.array().cast("array<string>")) for i, k in enumerate(KINDS)]
     step = step.select("*", *[p.alias(f"__pii_p{i}") for i, p in enumerate(pieces)])
-    step = step.select(*keep, *[_placed(F.col(f"__pii_m{i}"), F.col(f"__pii_p{i}")).alias(f"__pii_f{i}") for i in range(len(KINDS))])
+    step = step.select(*keep, *[_placed(k, F.col(f"__pii_m{i}"), F.col(f"__pii_p{i}")).alias(f"__pii_f{i}") for i, k in enumerate(KINDS)])
     spans = F.flatten(F.array(*[_scored(k, F.col(f"__pii_f{i}")) for i, k in enumerate(KINDS)]))
     return step.select(*keep, spans.cast(f"array<{SPAN}>").alias(out))
 

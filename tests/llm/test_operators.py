@@ -382,6 +382,18 @@ def test_pii_added_kinds_and_redaction(spark, odd, none):
     assert rows(out.where("doc_id = 1"), "text", "n_chars") == [(None, None)]
 
 
+def test_pii_account_numbers_before_other_words(spark):
+    plain, spaced, other = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432"
+    after = ["Thanks", "BIC COBADEFF", "2024 invoice", "X", "12", "and more", other, "or " + spaced, "A B C D E F G H I J K L M N", "", ". Next", "\u00e9"]
+    texts = [f"IBAN {n} {a}" for n in (plain, spaced) for a in after] + [f"{plain} {spaced} {other}\n{plain}", f"x{plain}", f"{plain}0", f"{plain}a {other}", ("AB12 " * 20_000) + plain]
+    found = [[n, *(x for x in (spaced, other) if x in a)] for n in (plain, spaced) for a in after] + [[plain, spaced, other, plain], [], [], [other], [plain]]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "iban"] for r in pii.spans_of(df).collect()}
+    assert got == dict(enumerate(found))
+    clean = {r.doc_id: r.text for r in pii.redact(df.where("doc_id < 3")).collect()}
+    assert clean == {i: f"IBAN <IBAN> {a}" for i, a in enumerate(after[:3])}
+
+
 # ---- lines
 
 
