@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Code points before a match in which context words count.
 CONTEXT = 40
+#: Code points that a match of any kind takes at least: so many before another reach over its context.
+SHORTEST = 4
 BLOCK = 256
 THRESHOLD = 0.5
 
@@ -110,23 +112,39 @@ _FOUND = "array<struct<start:bigint,m:string,ctx:string>>"
 
 
 def _placed(kind: Kind, matches: Column, pieces: Column) -> Column:
-    """Matches with their starts: sums within blocks, then over blocks, so many matches cost little more each."""
-    pairs = F.zip_with(
-        matches,
-        F.slice(pieces, F.lit(1), F.size(matches)),
-        lambda m, p: F.struct(m.alias("m"), F.length(p).cast("bigint").alias("gap"), F.lower(F.right(p, F.lit(CONTEXT))).alias("ctx")),
-    )
-    none = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast(_FOUND).alias("out"))
+    """Matches with their starts and the text before them: within blocks, then over blocks, so many matches cost little more each."""
+
+    def taken(m: Column) -> Column:
+        return F.left(m, F.lit(kind.head)) if kind.head else m
+
+    def pairs(first: Column, n: Column) -> Column:
+        return F.zip_with(
+            F.slice(matches, first, n),
+            F.slice(pieces, first, F.least(n, F.size(matches) - first + 1)),  # there is a piece more than matches
+            lambda m, p: F.struct(m.alias("m"), F.length(p).cast("bigint").alias("gap"), F.right(p, F.lit(CONTEXT)).alias("piece")),
+        )
+
+    def after(tail: Column, x: Column) -> Column:
+        return F.right(F.concat(tail, x["piece"], taken(x["m"])), F.lit(CONTEXT))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + x["gap"]
+        ctx = F.right(F.concat(acc["tail"], x["piece"]), F.lit(CONTEXT))
         return F.struct(
-            (start + (F.lit(kind.head) if kind.head else F.length(x["m"]))).cast("bigint").alias("pos"),
-            F.concat(acc["out"], F.array(F.struct(start.alias("start"), x["m"].alias("m"), x["ctx"].alias("ctx")))).alias("out"),
+            (start + F.length(taken(x["m"]))).cast("bigint").alias("pos"),
+            after(acc["tail"], x).alias("tail"),
+            F.concat(acc["out"], F.array(F.struct(start.alias("start"), x["m"].alias("m"), ctx.alias("ctx")))).alias("out"),
         )
 
+    def block(b: Column) -> Column:
+        before = F.least(b * BLOCK, F.lit(CONTEXT // SHORTEST))
+        tail = F.aggregate(pairs(b * BLOCK - before + 1, before), F.lit(""), after)
+        none = F.struct(F.lit(0).cast("bigint").alias("pos"), tail.alias("tail"), F.array().cast(_FOUND).alias("out"))
+        return F.aggregate(pairs(b * BLOCK + 1, F.lit(BLOCK)), none, step)
+
     numbers = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int"))
-    parts = F.transform(numbers, lambda b: F.aggregate(F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK)), none, step))
+    parts = F.transform(numbers, block)
+    none = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast(_FOUND).alias("out"))
 
     def join(acc: Column, part: Column) -> Column:
         moved = F.transform(part["out"], lambda o: F.struct((o["start"] + acc["pos"]).alias("start"), o["m"].alias("m"), o["ctx"].alias("ctx")))
@@ -137,7 +155,7 @@ def _placed(kind: Kind, matches: Column, pieces: Column) -> Column:
 
 def _scored(kind: Kind, found: Column) -> Column:
     def score(o: Column) -> Column:
-        return F.when(o["ctx"].rlike(kind.context), F.least(F.lit(kind.score + 0.3), F.lit(1.0))).otherwise(F.lit(kind.score))
+        return F.when(F.lower(o["ctx"]).rlike(kind.context), F.least(F.lit(kind.score + 0.3), F.lit(1.0))).otherwise(F.lit(kind.score))
 
     if kind.cut:
         found = F.filter(F.transform(found, lambda o: F.struct(o["start"].alias("start"), kind.cut(o["m"]).alias("m"), o["ctx"].alias("ctx"))), lambda o: o["m"].isNotNull())

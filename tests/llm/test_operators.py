@@ -394,6 +394,22 @@ def test_pii_account_numbers_before_other_words(spark):
     assert clean == {i: f"IBAN <IBAN> {a}" for i, a in enumerate(after[:3])}
 
 
+def test_pii_context_is_the_text_before(spark):
+    """Lists under one label, rejected matches in between, and lists over several blocks, against the 40 code points before."""
+    key = "0a" * 16
+    lists = ["SSN: 123-45-6789, 234-56-7890, 345-67-8901", "Ssn 000-45-6789 123-45-6789", "123-45-6789 ssn", "ssn" + " " * 37 + "123-45-6789", "ssn" + " " * 38 + "123-45-6789", f"token: {key} {key}", f"É😀 Tokens {key[:-1]} é {key}"]
+    lists += ["SSN " * k + "123-45-6789 " * n for k, n in ((1, 600), (9, 300))] + ["".join(f"123-45-678{i % 10} {'tax' if i % 64 == 63 else '-'} " for i in range(700))]
+    df = spark.createDataFrame(list(enumerate(lists)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if s.kind in ("ssn", "secret")] for r in pii.spans_of(df).collect()}
+    for k, t in enumerate(lists):
+        want = []
+        for kind, pattern, words in (("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "ssn|social|tax"), ("secret", r"(?<![0-9A-Za-z])[0-9a-f]{32,128}(?![0-9A-Za-z])", "token")):
+            want += [(kind, m.start(), m.end()) for m in re.finditer(pattern, t) if not m[0].startswith("000") and re.search(words, t[max(0, m.start() - 40) : m.start()].lower())]
+        assert got[k] == want, t[:80]
+    assert [len(got[k]) for k in (0, 1, 2, 3, 4)] == [3, 1, 0, 1, 0]
+    assert pii.redact(df.where("doc_id = 0")).first().text == "SSN: <SSN>, <SSN>, <SSN>"
+
+
 # ---- lines
 
 
