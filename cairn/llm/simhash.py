@@ -140,12 +140,16 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The document with the least doc_id of every group, with all its columns.
 
     Groups are those of ``similar``: five-word shingles at a similarity of 0.8, not the fingerprints.
-    Rows that share a doc_id are one document and one of them stays. Rows without a doc_id cannot
-    be named as a copy of another, so they all stay.
+    Rows that share a doc_id and a group are one document and one of them stays; in different groups
+    they are different documents, each of which stays where its group is named by that doc_id. Rows
+    without a doc_id cannot be named as a copy of another, so they all stay.
     """
-    labels = similar.near_duplicates(docs)
-    kept = written(labels.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct(), "kept")
-    named = docs.join(kept, docs["doc_id"] == kept["__kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    labels = similar.near_duplicates(docs).where("doc_id = component_id")
+    least = labels.groupBy("doc_id", "root").agg(F.min("text_hash").alias("__kept_text"))
+    kept = written(least.select(F.col("doc_id").alias("__kept_id"), "__kept_text"), "kept")
+    rows = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = (rows["doc_id"] == kept["__kept_id"]) & (rows["__text"] == kept["__kept_text"])
+    named = rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__text"]).drop("__text")
     return named.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

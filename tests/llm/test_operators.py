@@ -197,6 +197,13 @@ def test_similar_on_tangled_edits(spark):
     assert {r.doc_id: r.component_id for r in similar.near_duplicates(df).collect()} == want
 
 
+def test_deduplicate_ids_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    table = [(1, a), (5, a), (5, b), (5, b), (5, b + " end"), (6, b), (7, c), (7, None), (7, ""), (None, c)]
+    kept = simhash.deduplicate(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, (r.text or " ")[0]) for r in kept) == Counter([(1, "a"), (5, "b"), (7, "c"), (7, " "), (None, "c")])
+
+
 # ---- suffixes
 
 
