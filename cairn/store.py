@@ -371,12 +371,17 @@ class SnapshotStore:
         self._drop("staged", batch)
         return reclaimed
 
+    def _sound(self) -> DataFrame:
+        """The objects whose CRC and digest hold."""
+        body = codec.decoded("codec", "payload", "original_size")
+        return self.objects().where(F.crc32("payload") == F.col("payload_crc")).where(F.sha2(body, 256) == F.col("digest"))
+
     def fsck(self, rebuild: bool = False, deep: bool = False) -> FsckReport:
-        """Audit references against the index; ``rebuild`` makes the index anew from the objects, ``deep`` re-hashes payloads."""
+        """Audit references against the index; ``rebuild`` makes the index anew from the objects, ``deep`` re-hashes payloads and keeps corrupt ones out of that index."""
         rebuilt = None
         if rebuild:
             with self._lock():
-                index = ix.rebuild(self.objects())
+                index = ix.rebuild(self._sound() if deep else self.objects())
                 self._checkpoint(index)
                 rebuilt = self._meta()["count"]
         try:
@@ -387,7 +392,5 @@ class SnapshotStore:
         audit = gc.audit(self.refs(), index).collect()  # a row for each snapshot
         corrupt = 0
         if deep:
-            body = codec.decoded("codec", "payload", "original_size")
-            sound = self.objects().where(F.crc32("payload") == F.col("payload_crc"))
-            corrupt = self.objects().count() - sound.where(F.sha2(body, 256) == F.col("digest")).count()
+            corrupt = self.objects().count() - self._sound().count()
         return FsckReport(len(self._names("manifests")), sum(r.refs for r in audit), sum(r.dangling for r in audit), sorted(r.snapshot for r in audit if r.broken), corrupt, rebuilt)

@@ -87,6 +87,17 @@ def test_corruption_is_found(spark, tree, tmp_path):
         store.restore("s", str(tmp_path / "out"))
 
 
+def test_deep_rebuild_leaves_corrupt_objects_out(spark, tree, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    store.backup(str(tree), "s")
+    [batch] = store._names("objects")
+    bad = store.objects().withColumn("payload", F.when(F.col("original_size") == 1, F.lit(b"H")).otherwise(F.col("payload")))
+    store._publish(bad, "objects", batch)
+    assert store.fsck(rebuild=True).broken == []
+    report = store.fsck(rebuild=True, deep=True)
+    assert (report.corrupt, report.dangling, report.broken, report.rebuilt) == (1, 1, ["s"], store.objects().count() - 1)
+
+
 def test_stream_of_files(spark, tmp_path):
     from cairn.streaming.ingest import ingest_stream
 
