@@ -2,6 +2,8 @@
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
+OP4 = "SELECT doc_id, coalesce(doc_id, 0) % 4 AS arrival, length(text)::BIGINT AS n_chars, sha256(text) AS text_sha256 FROM documents"
+
 OP5 = rf"""
 WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS ws FROM documents),
 c AS (SELECT count(*) AS n_docs, avg(len(ws)) AS mean FROM t),
@@ -80,4 +82,4 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN a USING (doc_id)
 """
 
-ORACLE = {"op2_pii": OP2, "op5_bm25": OP5, "op6_quality_rules": OP6, "op10_site_lines": OP10}
+ORACLE = {"op2_pii": OP2, "op4_sharding": OP4, "op5_bm25": OP5, "op6_quality_rules": OP6, "op10_site_lines": OP10}

@@ -544,21 +544,86 @@ def test_search_ties_and_odd_ids(spark):
 
 def test_shards(spark, docs, odd, none):
     store = sharding.ShardStore(spark, scratch(spark, "test-shards"), target_bytes=60_000, tier_bytes=8_000, fanout=3, shard_rows=10)
-    for k in range(3):
-        store.append(docs.where(F.col("doc_id") % 3 == k))
+    parts = [docs.where(F.col("doc_id") % 3 == k) for k in range(3)]
+    for k, part in enumerate(parts):
+        assert store.append(part) == k + 1
     before = store.manifest().count()
-    first = store.versions()
-    store.compact()
-    assert store.versions()[: len(first)] == first and store.manifest().count() < before
+    last = store.compact()
+    assert store.versions() == [*range(1, last + 1)] and store.manifest().count() < before
     assert store.manifest().where("bytes < 30000").groupBy("tier").count().where("count >= 3").count() == 0
     assert rows(store.read(), *docs.columns) == rows(docs, *docs.columns)
     assert store.manifest().agg(F.sum("n_rows")).first()[0] == docs.count()
+    assert rows(store.read(1), *docs.columns) == rows(parts[0], *docs.columns)  # replaced shards are still there
+    running = store.read(3)
     with pytest.raises(sharding.Conflict):
-        store._commit(store.manifest(), store.versions()[-1])
-    other = sharding.ShardStore(spark, scratch(spark, "test-shards"), shard_rows=3)
-    other.append(odd)
-    other.append(none)
-    assert rows(other.read(), *odd.columns[:5]) == sorted(ODD, key=str) and set(CLASH) - {"shard"} <= set(other.read().columns)
+        store._commit(store.manifest(), None, last)
+    assert store.expire(keep=last - 2) == 0 and rows(running, *docs.columns) == rows(docs, *docs.columns)
+    assert store.expire() > 0 and store.versions() == [last]
+    with pytest.raises(ValueError):
+        store.read(1)
+    assert rows(store.read(), *docs.columns) == rows(docs, *docs.columns)
+    names = {r.s for r in store.read(shard_col="s").select("s").distinct().collect()}
+    assert names == {r.path for r in store.manifest().collect()}
+
+
+def test_shards_odd(spark, odd, none):
+    store = sharding.ShardStore(spark, scratch(spark, "test-shards"), shard_rows=3, fanout=2)
+    with pytest.raises(ValueError):
+        store.read()
+    assert store.compact() == 0 and store.expire() == 0
+    clash = odd.withColumn("path", F.lit("p")).withColumn("_metadata", F.lit("m")).withColumn("removed", F.lit(1))
+    assert store.append(clash.limit(0)) == 1 and store.read().columns == clash.columns and store.read(shard_col="at").count() == 0
+    store.append(clash)
+    store.append(clash.limit(0))
+    store.compact()
+    assert rows(store.read(), *odd.columns[:5]) == sorted(ODD, key=str) and store.read().columns == clash.columns
+    assert store.manifest().agg(F.sum("n_rows")).first()[0] == len(ODD)
+
+
+def test_shards_after_crashes(spark, docs, monkeypatch):
+    """A writer dies at each of its steps; readers see the version before, and the next writer goes on."""
+    part = docs.where("doc_id < 20")
+    want, n = rows(part, *docs.columns), 0
+    store = sharding.ShardStore(spark, scratch(spark, "test-shards"), fanout=2, lease=0)
+    store.append(part)
+    for step, times in (("_listing", ["after"]), ("_claim", ["before", "after"])):
+        for when in times:
+            plain = getattr(sharding.ShardStore, step)
+
+            def dies(self, *args, plain=plain, when=when):
+                if when == "after":
+                    plain(self, *args)
+                raise RuntimeError("crash")
+
+            base = store._last()
+            with monkeypatch.context() as m:
+                m.setattr(sharding.ShardStore, step, dies)
+                with pytest.raises(RuntimeError, match="crash"):
+                    store.append(part)
+            assert store._last() == base and store.read().count() == len(want) * (n + 1)
+            store.append(part)
+            n += 1
+    held = sharding.ShardStore(spark, store.path)  # with a long lease
+    held._claim(held._last() + 1)
+    with pytest.raises(sharding.Conflict):
+        held.append(part)
+    slow = store._last() + 1
+    store.append(part)  # the lease of this one is over at once, so it takes the claim
+    assert store._last() == slow
+    store.compact()
+    store.expire(lease=0)
+    assert rows(store.read(), *docs.columns) == sorted(want * (n + 2), key=str)
+    found = sum(len(store._names(f"data/{f}")) for f in store._names("data"))
+    assert found <= 2 * store.manifest().count() + len(store._names("data"))
+
+
+def test_shards_list_all_now_and_then(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "FULL", 3)
+    store = sharding.ShardStore(spark, scratch(spark, "test-shards"))
+    for _ in range(4):
+        store.append(spark.range(5).coalesce(1))
+    assert "full=000003" in store._names("manifest")
+    assert [store.read(v).count() for v in (1, 2, 3, 4)] == [5, 10, 15, 20]
 
 
 # ---- pipeline
