@@ -56,21 +56,36 @@ def _luhn(x: str) -> str:
       ELSE substr({d}, (length({d}) - i)::BIGINT, 1)::INT END)) % 10 = 0)"""
 
 
-#: kind, plain pattern, validator over match m and lower-cased context c
+def _near(words: str) -> str:
+    return f"(regexp_matches(lower(substr(t, greatest(1, s - 39), least(s, 40))), '{words}') OR regexp_matches(lower(substr(t, s + length(m) + 1, 40)), '{words}'))"
+
+
+#: kind, what may stand before it if not the text's beginning, plain pattern, what follows from the match m at s, validator
 OP2_KINDS = [
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
-    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_max(list_transform(string_split(m, '.'), lambda p: CASE WHEN length(ltrim(p, '0')) > 3 THEN 999 ELSE ('0' || ltrim(p, '0'))::INT END)) <= 255"),
-    ("card", r"[0-9](?:[ -]?[0-9])+", _luhn("m")),
-    ("phone", r"\+[0-9][ ().0-9-]+[0-9]", f"length({_digits('m')}) BETWEEN 9 AND 15"),
-    ("secret", r"\b[0-9a-f]{32,128}\b", "regexp_matches(c, 'token|secret|passw|api.?key|credential')"),
+    ("email", "", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "m", "true"),
+    ("ip", "", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "m", "list_max(list_transform(string_split(m, '.'), lambda p: CASE WHEN length(ltrim(p, '0')) > 3 THEN 999 ELSE ('0' || ltrim(p, '0'))::INT END)) <= 255"),
+    ("card", "", r"[0-9](?:[ -]?[0-9])+", "m", _luhn("m")),
+    ("phone", "", r"\+[0-9][ ().0-9-]+[0-9]", "m", f"length({_digits('m')}) BETWEEN 9 AND 15"),
+    (
+        "iban",
+        "[^A-Za-z0-9]",
+        "[A-Z]{2}[0-9]{2}",
+        """(SELECT list_filter(list_transform(range(len(w), 0, -1), lambda i: array_to_string(w[1:i], ' ')), lambda x: NOT regexp_matches(x, '[a-z]') AND length(replace(x, ' ', '')) BETWEEN 15 AND 34
+        AND list_reduce([0] || list_transform(string_split(replace(x, ' ', '')[5:] || replace(x, ' ', '')[1:4], ''), lambda c: strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c)::INT - 1), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1)[1]
+        FROM (SELECT string_split(regexp_extract(substr(t, s + 1, 80), '^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}[A-Za-z0-9]?'), ' ') AS w))""",
+        "m IS NOT NULL",
+    ),
+    ("ssn", "[^0-9-]", "[0-9]{3}-[0-9]{2}-[0-9]{4}", "m", f"NOT regexp_matches(substr(t, s + 12, 1), '[0-9-]') AND NOT regexp_matches(m, '^(?:000|666|9)|-00-|0000$') AND {_near('ssn|social|tax')}"),
+    ("secret", "[^0-9A-Za-z]", "[0-9a-f]{32,}", "m", f"NOT regexp_matches(substr(t, s + length(m) + 1, 1), '[0-9A-Za-z]') AND {_near('token|secret|passw|api.?key|credential')}"),
 ]
 
 
-def _kind(order: int, name: str, pattern: str, valid: str) -> str:
-    return f"""SELECT doc_id, {order} AS o, '{name}' AS kind, s, s + length(m) AS e FROM (
-      SELECT doc_id, ms[i] AS m, lower(right(ps[i], 40)) AS c, (list_sum(list_transform(ps[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0))::BIGINT AS s
-      FROM (SELECT doc_id, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (
-        SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS ps FROM docs) WHERE len(ms) > 0)) WHERE {valid}"""
+def _kind(order: int, name: str, lead: str, core: str, take: str, valid: str) -> str:
+    pattern = f"(?:^|{lead})(?:{core})" if lead else core
+    return f"""SELECT doc_id, {order} AS o, '{name}' AS kind, s, s + length(m) AS e FROM (SELECT doc_id, t, s, {take} AS m FROM (
+      SELECT doc_id, t, regexp_extract(ms[i], '(?:{core})$') AS m, (list_sum(list_transform(ps[1:i], lambda p: length(p))) + list_sum(list_transform(ms[1:i], lambda x: length(x))) - length(regexp_extract(ms[i], '(?:{core})$')))::BIGINT AS s
+      FROM (SELECT doc_id, t, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (
+        SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS ps FROM docs) WHERE len(ms) > 0))) WHERE {valid}"""
 
 
 OP2 = f"""

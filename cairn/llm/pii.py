@@ -1,12 +1,15 @@
 """Personal data: patterns propose spans, validators confirm them, context words adjust the score.
 
 Only column expressions. For each kind the matches and the pieces of text between them come from
-one pattern each; a span starts at the summed lengths of what precedes it. Patterns use possessive
-repeats and look-behinds so that they take time linear in the text and no stack, and find what
-their plain forms find. Of an account number the pattern only takes the head and looks at what may
+one pattern each; a span starts at the summed lengths of what precedes it. The sums are taken in
+blocks, then over the blocks' totals, so many matches take time in proportion (the totals alone
+cost the square of a ``BLOCK``-th of the matches, in additions). Patterns use possessive repeats
+and look-behinds so that they take time linear in the text and no stack, and find what their plain
+forms find. Of an account number the pattern only takes the head and looks at what may
 follow; the span is the longest run of whole words whose checksum holds, so a word, a number or
 another account number after it does no harm. Offsets are code points, ends exclusive.
 
+Context are the ``CONTEXT`` code points before a match and those after it, other matches included.
 Base kinds (email, ip, card, phone) are accepted by their pattern and validator alone; context
 only raises their score. Added kinds (iban, ssn, secret) need a checksum or a context word.
 
@@ -22,10 +25,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Code points before a match in which context words count.
+#: Code points before and after a match in which context words count.
 CONTEXT = 40
-#: Code points that a match of any kind takes at least: so many before another reach over its context.
+#: Code points that a match of any kind takes at least, so a few of them reach over any context.
 SHORTEST = 4
+#: Code points of the longest account number.
+LONGEST = 42
 BLOCK = 256
 THRESHOLD = 0.5
 
@@ -90,7 +95,7 @@ class Kind:
     pattern: str
     valid: Callable[[Column], Column]
     score: float  # of a valid match without context
-    context: str  # pattern over the lower-cased text before a match
+    context: str  # pattern over the lower-cased text before a match, and over that after it
     needs: str = ""  # a character that every match has
     head: int = 0  # where over 0, a match takes only so many characters, and what follows is looked at as group 1
     cut: Callable[[Column], Column] | None = None  # what of the group is the span, or null
@@ -104,66 +109,82 @@ KINDS = [
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", phone_digits, 0.7, "phone|call|tel|mobile|fax", "+"),
     Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))[A-Z]{2}[0-9]{2}", anything, 0.8, "iban|account|bank", head=4, cut=account_number),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", social_number, 0.3, "ssn|social|tax", "-"),
-    Kind("secret", r"(?<![0-9A-Za-z])[0-9a-f]{32,128}+(?![0-9A-Za-z])", anything, 0.3, "token|secret|passw|api.?key|credential"),
+    Kind("secret", r"(?<![0-9A-Za-z])[0-9a-f]{32,}+(?![0-9A-Za-z])", anything, 0.3, "token|secret|passw|api.?key|credential"),
 ]
 BASE = [k.name for k in KINDS[:4]]
 SPAN = "struct<kind:string,start:bigint,end:bigint,score:double>"
-_FOUND = "array<struct<start:bigint,m:string,ctx:string>>"
+_PIECE = "array<struct<n:bigint,head:string,tail:string>>"
 
 
-def _placed(kind: Kind, matches: Column, pieces: Column) -> Column:
-    """Matches with their starts and the text before them: within blocks, then over blocks, so many matches cost little more each."""
+def _taken(kind: Kind, m: Column) -> Column:
+    """What the pattern takes of the text for a match."""
+    return F.left(m, F.lit(kind.head)) if kind.head else m
 
-    def taken(m: Column) -> Column:
-        return F.left(m, F.lit(kind.head)) if kind.head else m
 
-    def pairs(first: Column, n: Column) -> Column:
-        return F.zip_with(
-            F.slice(matches, first, n),
-            F.slice(pieces, first, F.least(n, F.size(matches) - first + 1)),  # there is a piece more than matches
-            lambda m, p: F.struct(m.alias("m"), F.length(p).cast("bigint").alias("gap"), F.right(p, F.lit(CONTEXT)).alias("piece")),
-        )
+def _reach(kind: Kind) -> int:
+    """Code points after what a match takes in which its context lies."""
+    return CONTEXT + LONGEST * bool(kind.cut)
 
-    def after(tail: Column, x: Column) -> Column:
-        return F.right(F.concat(tail, x["piece"], taken(x["m"])), F.lit(CONTEXT))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + x["gap"]
-        ctx = F.right(F.concat(acc["tail"], x["piece"]), F.lit(CONTEXT))
-        return F.struct(
-            (start + F.length(taken(x["m"]))).cast("bigint").alias("pos"),
-            after(acc["tail"], x).alias("tail"),
-            F.concat(acc["out"], F.array(F.struct(start.alias("start"), x["m"].alias("m"), ctx.alias("ctx")))).alias("out"),
-        )
+def _measured(kind: Kind, pieces: Column) -> Column:
+    """Of each piece its length, and as much of its ends as any context needs."""
+    ends = lambda p: F.struct(F.length(p).cast("bigint").alias("n"), F.left(p, F.lit(_reach(kind))).alias("head"), F.right(p, F.lit(CONTEXT)).alias("tail"))
+    return F.transform(pieces, ends)
+
+
+def _last(x: Column) -> Column:
+    return F.get(x, F.size(x) - 1)
+
+
+def _blocks(kind: Kind, matches: Column, pieces: Column) -> Column:
+    """For each BLOCK matches where the piece before each begins, from the block's beginning, and where the block ends."""
+    zero = F.array(F.lit(0).cast("bigint"))
 
     def block(b: Column) -> Column:
-        before = F.least(b * BLOCK, F.lit(CONTEXT // SHORTEST))
-        tail = F.aggregate(pairs(b * BLOCK - before + 1, before), F.lit(""), after)
-        none = F.struct(F.lit(0).cast("bigint").alias("pos"), tail.alias("tail"), F.array().cast(_FOUND).alias("out"))
-        return F.aggregate(pairs(b * BLOCK + 1, F.lit(BLOCK)), none, step)
+        within = F.sequence(b * BLOCK, F.least(F.size(matches), (b + 1) * BLOCK) - 1)
+        return F.aggregate(within, zero, lambda acc, j: F.concat(acc, F.array(_last(acc) + F.get(pieces, j)["n"] + F.length(_taken(kind, F.get(matches, j))))))
 
     numbers = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int"))
-    parts = F.transform(numbers, block)
-    none = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast(_FOUND).alias("out"))
+    return F.when(F.size(matches) > 0, F.transform(numbers, block)).otherwise(F.array().cast("array<array<bigint>>"))
+
+
+def _begins(blocks: Column) -> Column:
+    """Where each block begins in the text."""
+    zero = F.array(F.lit(0).cast("bigint"))
+    return F.aggregate(blocks, zero, lambda acc, x: F.concat(acc, F.array(_last(acc) + _last(x))))
+
+
+def _spans(kind: Kind, matches: Column, pieces: Column, blocks: Column, begins: Column) -> Column:
+    """The accepted spans of a kind."""
+    n = F.size(matches)
 
-    def join(acc: Column, part: Column) -> Column:
-        moved = F.transform(part["out"], lambda o: F.struct((o["start"] + acc["pos"]).alias("start"), o["m"].alias("m"), o["ctx"].alias("ctx")))
-        return F.struct((acc["pos"] + part["pos"]).alias("pos"), F.concat(acc["out"], moved).alias("out"))
+    def start(j: Column) -> Column:
+        b = F.floor(j / BLOCK).cast("int")
+        return F.get(begins, b) + F.get(F.get(blocks, b), j % BLOCK) + F.get(pieces, j)["n"]
 
-    return F.when(F.size(matches) > 0, F.aggregate(parts, none, join)["out"]).otherwise(F.array().cast(_FOUND))
+    def before(j: Column) -> Column:
+        own = F.get(pieces, j)["tail"]
+        since = F.sequence(F.greatest(j - CONTEXT // SHORTEST, F.lit(0)), j)
+        joined = F.aggregate(since, F.lit(""), lambda acc, k: F.right(F.concat(acc, F.get(pieces, k)["tail"], F.when(k < j, _taken(kind, F.get(matches, k))).otherwise("")), F.lit(CONTEXT)))
+        return F.when((j == 0) | (F.length(own) >= CONTEXT), own).otherwise(joined)
 
+    def after(j: Column, m: Column) -> Column:
+        own = F.get(pieces, j + 1)["head"]
+        until = F.sequence(j + 1, F.least(n, j + 1 + _reach(kind) // SHORTEST))
+        joined = F.aggregate(until, F.lit(""), lambda acc, k: F.left(F.concat(acc, F.get(pieces, k)["head"], F.when(k < n, _taken(kind, F.get(matches, k))).otherwise("")), F.lit(_reach(kind))))
+        text = F.when((j + 1 == n) | (F.length(own) >= _reach(kind)), own).otherwise(joined)
+        return F.substr(text, F.length(m) - kind.head + 1, F.lit(CONTEXT)) if kind.cut else text
 
-def _scored(kind: Kind, found: Column) -> Column:
-    def score(o: Column) -> Column:
-        return F.when(F.lower(o["ctx"]).rlike(kind.context), F.least(F.lit(kind.score + 0.3), F.lit(1.0))).otherwise(F.lit(kind.score))
+    def span(o: Column) -> Column:
+        near = F.lower(before(o["j"])).rlike(kind.context) | F.lower(after(o["j"], o["m"])).rlike(kind.context)
+        score = F.when(near, F.least(F.lit(kind.score + 0.3), F.lit(1.0))).otherwise(F.lit(kind.score))
+        begin = start(o["j"])
+        return F.struct(F.lit(kind.name).alias("kind"), begin.alias("start"), (begin + F.length(o["m"])).cast("bigint").alias("end"), score.alias("score"))
 
-    if kind.cut:
-        found = F.filter(F.transform(found, lambda o: F.struct(o["start"].alias("start"), kind.cut(o["m"]).alias("m"), o["ctx"].alias("ctx"))), lambda o: o["m"].isNotNull())
-    accepted = F.filter(found, lambda o: kind.valid(o["m"]) & (score(o) >= THRESHOLD))
-    return F.transform(
-        accepted,
-        lambda o: F.struct(F.lit(kind.name).alias("kind"), o["start"].alias("start"), (o["start"] + F.length(o["m"])).cast("bigint").alias("end"), score(o).alias("score")),
-    )
+    proposed = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(j.alias("j"), (kind.cut or (lambda m: m))(F.get(matches, j)).alias("m")))
+    valid = F.filter(proposed, lambda o: o["m"].isNotNull() & kind.valid(o["m"]))
+    accepted = F.filter(F.transform(valid, span), lambda s: s["score"] >= THRESHOLD)
+    return F.when(n > 0, accepted).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def with_spans(df: DataFrame, text_col: str = "text", out: str = "__pii_spans") -> DataFrame:
@@ -172,11 +193,14 @@ def with_spans(df: DataFrame, text_col: str = "text", out: str = "__pii_spans")
     keep = [F.col(f"`{c}`") for c in df.columns]
     matches = [F.regexp_extract_all(text, F.lit(k.pattern), F.lit(int(k.head > 0))) for k in KINDS]
     matches = [F.when(F.contains(text, F.lit(k.needs)), m).otherwise(F.array().cast("array<string>")) if k.needs else m for k, m in zip(KINDS, matches, strict=True)]
+    kinds = range(len(KINDS))
+    column = lambda name, i: F.col(f"__pii_{name}{i}")
     step = df.select(*keep, *[m.alias(f"__pii_m{i}") for i, m in enumerate(matches)])
-    pieces = [F.when(F.size(f"__pii_m{i}") > 0, F.split(text, k.pattern, -1)).otherwise(F.array().cast("array<string>")) for i, k in enumerate(KINDS)]
+    pieces = [F.when(F.size(column("m", i)) > 0, _measured(k, F.split(text, k.pattern, -1))).otherwise(F.array().cast(_PIECE)) for i, k in enumerate(KINDS)]
     step = step.select("*", *[p.alias(f"__pii_p{i}") for i, p in enumerate(pieces)])
-    step = step.select(*keep, *[_placed(k, F.col(f"__pii_m{i}"), F.col(f"__pii_p{i}")).alias(f"__pii_f{i}") for i, k in enumerate(KINDS)])
-    spans = F.flatten(F.array(*[_scored(k, F.col(f"__pii_f{i}")) for i, k in enumerate(KINDS)]))
+    step = step.select("*", *[_blocks(k, column("m", i), column("p", i)).alias(f"__pii_b{i}") for i, k in enumerate(KINDS)])
+    step = step.select("*", *[_begins(column("b", i)).alias(f"__pii_o{i}") for i in kinds])
+    spans = F.flatten(F.array(*[_spans(k, *(column(c, i) for c in "mpbo")) for i, k in enumerate(KINDS)]))
     return step.select(*keep, spans.cast(f"array<{SPAN}>").alias(out))
 
 
