@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -42,10 +43,12 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset, as in tests on one machine, a temporary folder takes its place.
+    Only where it is unset and all runs on one machine, as in tests, a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = getattr(spark.sparkContext, "_cairn_shared", None)
         if base is None:
             base = spark.sparkContext._cairn_shared = "file://" + tempfile.mkdtemp(prefix="cairn-")
@@ -56,13 +59,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/cairn-{name}-{uuid.uuid4().hex}"
 
 
+def reread(spark: SparkSession, schema: StructType, path: str) -> DataFrame:
+    """An intermediate table; ``drop_written`` finds its folder."""
+    out = spark.read.schema(schema).parquet(path)
+    out._cairn_path = path
+    return out
+
+
 def written(df: DataFrame, name: str, *, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return reread(spark, df.schema, path)
 
 
 def drop(spark: SparkSession, *paths: str) -> None:
@@ -73,6 +83,6 @@ def drop(spark: SparkSession, *paths: str) -> None:
 
 
 def drop_written(*frames: DataFrame) -> None:
-    """Delete the tables that ``written`` made, once nothing reads them any more."""
+    """Delete the tables that ``written`` or ``reread`` returned, once nothing reads them any more."""
     for df in frames:
-        drop(df.sparkSession, *{f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]})
+        drop(df.sparkSession, df._cairn_path)
