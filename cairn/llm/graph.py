@@ -17,8 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014): edges never grow in
     number beyond nodes plus edges, and the rounds grow with the logarithm of the longest chain.
-    Each round is a written table. Only minima are grouped, never lists of neighbours, and the
-    joins are plain ones, which adaptive execution splits where one node has most of the edges.
+    Each round is a written table, as is the result. Only minima are grouped, never lists of neighbours,
+    and the joins are plain ones, which adaptive execution splits where one node has most of the edges.
     """
     now = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _digest(now)
@@ -37,4 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = new
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = written(roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "roots")
+    drop_written(now)
+    return out

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from cairn.llm import similar
 from cairn.llm.common import map_texts
 from cairn.llm.graph import components
-from cairn.session import written
+from cairn.session import drop_written, written
 
 SHINGLE = 3
 SEED = 42
@@ -128,11 +128,13 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """(id, fp, component_id) for every row: the least id reachable over links, its own included."""
     marks = written(map_texts(df, _fingerprints, [("fp", T.LongType())], id_col=id_col, text_col=text_col), "fingerprints")
     distinct = written(marks.groupBy("fp").agg(F.min(id_col).alias("least_id")), "distinct")
-    roots = written(components(links(distinct, radius)), "roots")
+    roots = components(links(distinct, radius))
     named = roots.join(distinct, roots["node"] == distinct["fp"]).select("fp", "root", "least_id")
     least = named.groupBy("root").agg(F.min("least_id").alias("group_id"))
     linked = named.join(least, "root").select("fp", "group_id")
-    labels = distinct.join(linked, "fp", "left").select("fp", F.coalesce("group_id", "least_id").alias("component_id"))
+    # written, so that the last join is of two plain exchanges, which adaptive execution splits where copies share one fingerprint
+    labels = written(distinct.join(linked, "fp", "left").select("fp", F.coalesce("group_id", "least_id").alias("component_id")), "labels")
+    drop_written(distinct, roots)
     return marks.join(labels, "fp").select(id_col, "fp", "component_id")
 
 
