@@ -12,8 +12,8 @@ number of shards, are searched first, and their merged k-th best prunes all othe
 counts, lengths and document frequencies are global, so scores of different shards compare, and
 merging the shards' k best gives exactly the k best of all.
 
-Queries are taken in blocks of ``QUERY_TERMS`` terms on average (16 bytes each), the only thing that
-is broadcast. Each block is one pass over the index, and its results are written before the next
+Queries are taken in blocks of ``QUERY_TERMS`` terms at most (16 bytes each; a query of more terms, and
+what shares its hash class, is a block of its own), the only thing that is broadcast. Each block is one pass over the index, and its results are written before the next
 begins; so neither memory nor shuffled bytes grow with the product of queries and shards.
 
 Defined results: words are lower-cased A-Z and cut at blanks; a query without words has no rows; a
@@ -38,15 +38,17 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from cairn.llm.common import map_texts
-from cairn.session import scratch, written
+from cairn.session import drop_written, reread, scratch, written
 
 K1, B = 1.2, 0.75
 BLOCK = 16
 #: A term in more than one document of so many is frequent.
 OFTEN = 6
 SHARD_DOCS = 6_000
-#: Terms of the queries that are searched at once: 32 MB.
+#: Terms of the queries that are searched at once, at most: 32 MB.
 QUERY_TERMS = 2_000_000
+#: Hash classes of queries for each block; whole classes make a block.
+CLASSES = 32
 #: Documents that are scored whole before the others are held against the k-th best, at least.
 FIRST = 64
 #: Queries whose terms are looked up in a shard at once.
@@ -235,7 +237,7 @@ def build_index(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     path = scratch(spark, "index")
     # a file for each shard, so that shards spread evenly over tasks
     dealt.groupBy("shard").applyInArrow(_build(to_arrow_type(kind)), schema).write.option("compression", "zstd").option("maxRecordsPerFile", 1).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return reread(spark, schema, path)
 
 
 def weighted_queries(df: DataFrame, index: DataFrame, total: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,6 +251,22 @@ def weighted_queries(df: DataFrame, index: DataFrame, total: int, *, id_col: str
     return weighted.groupBy("query_id").agg(pairs.alias("p")).select("query_id", F.col("p.term").alias("terms"), F.col("p.weight").alias("weights"), F.col("p.df").alias("dfs"))
 
 
+def query_blocks(queries: DataFrame, query_terms: int) -> tuple[Column, list[tuple[int, int]]]:
+    """The class of a query, and the classes, from and to, of each block of at most ``query_terms`` terms."""
+    n_terms = queries.agg(F.sum(F.size("terms"))).first()[0] or 0
+    classes = CLASSES * max(1, math.ceil(n_terms / query_terms))
+    of = F.pmod(F.xxhash64("query_id"), F.lit(classes))
+    sizes = sorted(queries.groupBy(of.alias("c")).agg(F.sum(F.size("terms")).alias("n")).collect())  # a row for each class
+    blocks, held = [], 0
+    for c, n in sizes:
+        if blocks and held + n <= query_terms:
+            blocks[-1], held = (blocks[-1][0], c), held + n
+        else:
+            blocks.append((c, c))
+            held = n
+    return of, blocks
+
+
 def top_k(
     df: DataFrame,
     is_query: Column,
@@ -265,14 +283,14 @@ def top_k(
     total, n_words, shards = index.agg(F.sum("n_docs"), F.sum("n_words"), F.max("shard") + 1).first()
     total, shards, mean = total or 0, shards or 0, (n_words or 0) / max(1, total or 0) or 1.0
     queries = written(weighted_queries(df.where(is_query), index, total, id_col=id_col, text_col=text_col), "queries")
-    n_terms = queries.agg(F.sum(F.size("terms"))).first()[0] or 0
-    blocks, seeds = max(1, math.ceil(n_terms / query_terms)), math.isqrt(shards)
+    of, blocks = query_blocks(queries, query_terms)
+    seeds = math.isqrt(shards)
     kind = queries.schema["query_id"].dataType
     schema = T.StructType([T.StructField("query_id", kind), T.StructField("id", kind), T.StructField("score", T.DoubleType())])
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_first("id"))
     path = scratch(spark, "found")
-    for block in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
+    for a, z in blocks:
+        rows = queries.where(of.between(a, z)).toArrow().combine_chunks()
         asked = Asked(rows, total, to_arrow_type(kind))
 
         def found(part: Column, shared: Broadcast) -> DataFrame:
@@ -288,7 +306,10 @@ def top_k(
         _ranked(rest.union(best.drop("rank")), order, k).write.mode("append").parquet(path)
         first.unpersist()
         then.unpersist()
-    return spark.read.schema(best.schema).parquet(path)
+        drop_written(best)
+    drop_written(index, queries)
+    ranked = T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())])
+    return spark.read.schema(ranked).parquet(path) if blocks else spark.createDataFrame([], ranked)
 
 
 def _ranked(found: DataFrame, order: Window, k: int) -> DataFrame:
