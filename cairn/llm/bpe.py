@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from cairn.llm.common import map_texts
 
-#: Distinct pre-tokens that a worker remembers; then it starts afresh.
-MEMORY = 200_000
+#: Distinct pre-tokens that a worker remembers, and their characters; then it starts afresh.
+MEMORY, MEMORY_CHARS = 200_000, 8 << 20
 
 
 def byte_chars() -> list[str]:
@@ -73,7 +73,7 @@ def serialise(tokens: list[bytes]) -> bytes:
 
 
 class Codec:
-    """Encodes and decodes whole texts; remembers at most MEMORY pre-tokens."""
+    """Encodes and decodes whole texts; remembers at most MEMORY pre-tokens, of MEMORY_CHARS or one text's."""
 
     def __init__(self, ranks: bytes, pattern: str):
         self.tokens = read_ranks(ranks)
@@ -82,15 +82,19 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.to = dict(enumerate(byte_chars()))
         self.memory: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def pieces(self, pre_tokens: list[str]) -> list[tuple[int, ...]]:
         """The ids of each pre-token; a pre-token that is a token itself has its id."""
         memory = self.memory
         new = [p for p in dict.fromkeys(pre_tokens) if p not in memory]
         if new:
-            if len(memory) + len(new) > MEMORY:
+            size = sum(map(len, new))
+            if len(memory) + len(new) > MEMORY or self.held + size > MEMORY_CHARS:
                 memory.clear()
                 new = list(dict.fromkeys(pre_tokens))
+                self.held, size = 0, sum(map(len, new))
+            self.held += size
             known = {p: self.rank.get(p.encode()) for p in new}
             rest = [p for p in new if known[p] is None]
             mapped = [p.encode().decode("latin-1").translate(self.to) for p in rest]
