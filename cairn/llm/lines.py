@@ -8,8 +8,9 @@ lines, so the list of them joins back to the pages as one array for each host.
 
 Defined results: a null text stays null and has no lines; a null host is a site of its own; lines
 are compared without blanks at their ends, and blank lines always stay; a page that repeats counts
-as often as it occurs; a host needs ``min_pages`` pages with the line, so small sites lose nothing.
-A page with nothing but boilerplate is a copy rather than a page with boilerplate: it stays whole.
+as often as it occurs. Two guards are off unless asked for: ``min_pages`` is how many pages a line must
+be on, so that small sites lose nothing, and ``keep_whole`` leaves a page with nothing but boilerplate
+as it is, as such a page is a copy rather than a page with boilerplate.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 from cairn.session import written
 
 MAX_RATIO = 0.1
-MIN_PAGES = 5
 BLANK = " \t\x0b\x0c\r"
 
 
@@ -30,7 +30,7 @@ def _key(line: Column) -> Column:
     return F.when(t != "", F.struct(F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(1), t).alias("h2")))
 
 
-def boilerplate(df: DataFrame, *, host_col: str, text_col: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(df: DataFrame, *, host_col: str, text_col: str, max_ratio: float = MAX_RATIO, min_pages: int = 1) -> DataFrame:
     """(host, lines): the keys of each host's lines above the ratio; hosts without any are left out."""
     pages = df.select(F.col(f"`{host_col}`").alias("host"), F.col(f"`{text_col}`").alias("text"))
     keys = F.array_distinct(F.filter(F.transform(F.split("text", "\n", -1), _key), lambda k: k.isNotNull()))
@@ -41,7 +41,7 @@ def boilerplate(df: DataFrame, *, host_col: str, text_col: str, max_ratio: float
     return over.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(df: DataFrame, *, host_col: str, text_col: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, count_cols: tuple[str, str] | None = None) -> DataFrame:
+def drop_boilerplate(df: DataFrame, *, host_col: str, text_col: str, max_ratio: float = MAX_RATIO, min_pages: int = 1, keep_whole: bool = False, count_cols: tuple[str, str] | None = None) -> DataFrame:
     """``df`` without boilerplate lines in its text; ``count_cols`` names columns for the lines and those dropped."""
     bad = written(boilerplate(df, host_col=host_col, text_col=text_col, max_ratio=max_ratio, min_pages=min_pages), "boilerplate")
     bad = bad.select(F.col("host").alias("__bad_host"), F.col("lines").alias("__bad_lines"))
@@ -51,8 +51,9 @@ def drop_boilerplate(df: DataFrame, *, host_col: str, text_col: str, max_ratio:
     parts = F.split(text, "\n", -1)
     left = F.filter(parts, lambda x: F.coalesce(~F.array_contains(F.col("__bad_lines"), _key(x)), F.lit(True)))
     marked = marked.select(*keep, F.when(some, left).alias("__left"))
-    content = F.exists("__left", lambda x: _key(x).isNotNull())
-    marked = marked.select(*keep, F.when(content, F.col("__left")).alias("__left"))
+    if keep_whole:
+        content = F.exists("__left", lambda x: _key(x).isNotNull())
+        marked = marked.select(*keep, F.when(content, F.col("__left")).alias("__left"))
     changed = F.coalesce(F.array_join("__left", "\n"), text)
     extra = []
     if count_cols:

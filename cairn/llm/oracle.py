@@ -37,10 +37,9 @@ WITH l AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM d
 e AS (SELECT doc_id, source, trim(u, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS k FROM (SELECT doc_id, source, unnest(ls) AS u FROM l)),
 n AS (SELECT source, k, count(DISTINCT doc_id) AS n FROM e WHERE k <> '' GROUP BY ALL),
 tot AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
-bad AS (SELECT n.source, list(k) AS ks FROM n JOIN tot ON n.source IS NOT DISTINCT FROM tot.source WHERE n >= 5 AND n > 0.1 * total GROUP BY n.source),
-f AS (SELECT doc_id, ls, list_filter(ls, lambda x: NOT list_contains(coalesce(ks, []), trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)))) AS left_
-  FROM l LEFT JOIN bad ON l.source IS NOT DISTINCT FROM bad.source),
-k AS (SELECT doc_id, ls, CASE WHEN len(list_filter(left_, lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> '')) > 0 THEN left_ ELSE ls END AS kept FROM f)
+bad AS (SELECT n.source, list(k) AS ks FROM n JOIN tot ON n.source IS NOT DISTINCT FROM tot.source WHERE n > 0.1 * total GROUP BY n.source),
+k AS (SELECT doc_id, ls, list_filter(ls, lambda x: NOT list_contains(coalesce(ks, []), trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)))) AS kept
+  FROM l LEFT JOIN bad ON l.source IS NOT DISTINCT FROM bad.source)
 SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(ls) - len(kept), 0)::BIGINT AS n_dropped, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM k
 """
 
