@@ -4,7 +4,9 @@ Sequences longer than ``max_length`` are cut into full windows and a rest, so th
 lengths has at most ``max_length + 1`` bars whatever the input; a dynamic programme over it finds
 the bucket boundaries whose total padding is least. Batches of a bucket hold as many sequences as
 the token budget allows at the bucket's length. A sequence's place in its bucket is its place in
-a hashed shard plus the sizes of the shards before, so no bucket is ever sorted in one task.
+a hashed shard plus the sizes of the shards before, so no bucket is ever sorted in one task. Equal
+sequences (of one id, piece and length) are counted before the shuffle and dealt out again after
+it, RUN at a time, so an id that many rows share fills no task.
 
 Defined results: a null or zero length is one empty sequence, in the first bucket; null ids are
 packed like others; repeated rows are packed as often as they occur; an empty table gives no rows.
@@ -18,10 +20,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.session import written
+from cairn.session import drop_written, written
 
 #: Rows of a shard, about.
 SHARD_ROWS = 50_000
+#: Equal sequences dealt out by one task at once.
+RUN = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -75,12 +79,19 @@ def pack(df: DataFrame, length: Column, *, id_col: str = "doc_id", max_length: i
     for b in reversed(bounds[:-1]):
         bucket = F.when(F.col("length") <= b, b).otherwise(bucket)
     shards = max(64, math.ceil(sum(histogram.values()) / SHARD_ROWS))
-    placed = pieces.select("*", bucket.alias("bucket_length"), F.pmod(F.xxhash64("id", "piece"), F.lit(shards)).alias("shard"))
+    sequence = ["bucket_length", "shard", "id", "piece", "start", "length"]
+    shard = F.pmod(F.xxhash64("id", "piece", "length"), F.lit(shards))
+    equal = pieces.select("*", bucket.alias("bucket_length"), shard.alias("shard")).groupBy(*sequence).agg(F.count("*").alias("n"))
 
     before = Window.partitionBy("bucket_length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("bucket_length", "shard").agg(F.count("*").alias("n"))
-    offsets = offsets.select("bucket_length", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    own = Window.partitionBy("bucket_length", "shard").orderBy(F.xxhash64("piece", "id"), "id", "piece")
-    ranked = placed.withColumn("place", F.row_number().over(own) - 1).join(offsets, ["bucket_length", "shard"])
-    rank, room = F.col("offset") + F.col("place"), F.floor(F.lit(token_budget) / F.greatest(F.col("bucket_length"), F.lit(1)))
-    return ranked.select(F.col("id").alias(id_col), "piece", "start", "length", "bucket_length", F.floor(rank / room).alias("batch"), (rank % room).cast("int").alias("slot"))
+    own = Window.partitionBy("bucket_length", "shard").orderBy(F.xxhash64("length", "piece", "id"), "id", "piece", "length").rowsBetween(Window.unboundedPreceding, 0)
+    placed = written(equal.withColumn("place", F.sum("n").over(own) - F.col("n")), "placed")
+    drop_written(pieces)
+    offsets = placed.groupBy("bucket_length", "shard").agg(F.sum("n").alias("s"))
+    offsets = offsets.select("bucket_length", "shard", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
+    ranked = placed.join(offsets, ["bucket_length", "shard"]).select(*sequence, "n", (F.col("offset") + F.col("place")).alias("first"))
+    few = ranked.where(F.col("n") <= RUN).withColumn("run", F.lit(0).cast("bigint"))
+    many = ranked.where(F.col("n") > RUN).withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(RUN).cast("bigint")))).repartition(*sequence, "run")
+    each = few.unionByName(many).withColumn("k", F.explode(F.sequence("run", F.least(F.col("n"), F.col("run") + RUN) - 1)))
+    rank, room = F.col("first") + F.col("k"), F.floor(F.lit(token_budget) / F.greatest(F.col("bucket_length"), F.lit(1)))
+    return each.select(F.col("id").alias(id_col), "piece", "start", "length", "bucket_length", F.floor(rank / room).alias("batch"), (rank % room).cast("int").alias("slot"))

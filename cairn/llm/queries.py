@@ -12,10 +12,14 @@ from cairn.llm.common import documents
 from cairn.llm.oracle import ORACLE as SQL
 from cairn.session import scratch
 
+#: The vocabulary of word pieces.
+PIECES = "piece_bpe_32k.model"
 
-def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return packing.pack(docs, packing.word_count(docs["text"]))
+
+def op1_length_buckets(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
+    """Whole documents by their number of word-piece tokens."""
+    counts = wordpiece.token_counts(documents(spark, sf_dir), wordpiece.vocabulary(spark, public_tokenizers.path(model)))
+    return packing.pack(counts, F.col("n_tokens"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +61,8 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, sf_dir))
 
 
-def op8_token_counts(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_32k.model") -> DataFrame:
-    with open(public_tokenizers.path(model), "rb") as f:
-        vocabulary = spark.sparkContext.broadcast(wordpiece.pieces_of(f.read()))
-    return wordpiece.token_counts(documents(spark, sf_dir), vocabulary)
+def op8_token_counts(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
+    return wordpiece.token_counts(documents(spark, sf_dir), wordpiece.vocabulary(spark, public_tokenizers.path(model)))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:

@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from cairn.llm.common import map_texts
@@ -109,6 +109,12 @@ def token_counts(df: DataFrame, vocabulary: Broadcast, *, max_chars: int | None
     return map_texts(df, run, [("n_words", T.LongType()), ("n_tokens", T.LongType()), ("n_unknown", T.LongType())], id_col=id_col, text_col=text_col)
 
 
+def vocabulary(spark: SparkSession, path: str) -> Broadcast:
+    """The pieces of a sentencepiece model file on the driver, a fixed number of them, for all executors."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(pieces_of(f.read()))
+
+
 def pieces_of(model: bytes) -> tuple[tuple[str, ...], tuple[str, ...]]:
     """The vocabulary of a sentencepiece model, U+2581 marking the start of a word."""
     import sentencepiece

@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import duckdb
 import public_tokenizers
@@ -110,10 +111,10 @@ def brute_components(fps):
     return {k: find(k) for k in fps}
 
 
-def test_simhash_against_brute_force(docs, texts):
+def test_simhash_query_against_brute_force(spark, texts):
     fps = {k: brute_fingerprint(t) for k, t in texts.items()}
     group = brute_components(fps)
-    got = {r.doc_id: (r.h, r.component_id) for r in simhash.near_duplicates(docs).select("doc_id", simhash.hexadecimal().alias("h"), "component_id").collect()}
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.QUERIES["op3_simhash"](spark, SF).collect()}
     assert got == {k: (f"{fps[k]:016x}", group[k]) for k in texts}
 
 
@@ -238,8 +239,8 @@ def brute_repeats(all_texts, length=200):
 REPEAT_COLS = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def test_suffixes_against_brute_force(docs, texts):
-    got = {r.doc_id: tuple(r[c] for c in REPEAT_COLS) for r in suffixes.remove_repeats(docs).collect()}
+def test_suffixes_query_against_brute_force(spark, texts):
+    got = {r.doc_id: tuple(r[c] for c in REPEAT_COLS) for r in queries.QUERIES["op7_suffixes"](spark, SF).collect()}
     assert got == dict(zip(texts, brute_repeats(texts.values()), strict=True))
 
 
@@ -287,10 +288,12 @@ def test_bpe_against_tiktoken(spark, docs, texts, odd, none):
     data = ranks_file()
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}, special_tokens={})
     shared = spark.sparkContext.broadcast(data)
-    got = {r.doc_id: r for r in bpe.encoded(docs, shared, public_tokenizers.PATTERN).collect()}
+    listed = {r.doc_id: r.ids for r in bpe.encoded(docs, shared, public_tokenizers.PATTERN).collect()}
+    got = {r.doc_id: r for r in queries.QUERIES["op9_byte_bpe"](spark, SF).collect()}
+    assert got.keys() == texts.keys()
     for k, t in texts.items():
         ids = own.encode_ordinary(t)
-        assert got[k].ids == ids and got[k].n_tokens == len(ids)
+        assert listed[k] == ids and got[k].n_tokens == len(ids)
         assert got[k].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[k].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
     back = rows(bpe.encoded(odd, shared, public_tokenizers.PATTERN), "doc_id", "n_tokens", "decoded_sha256")
@@ -330,14 +333,23 @@ def test_wordpiece_against_greedy_search():
             assert automaton.count(w) == greedy(w, initial, continuing), (w, initial, continuing)
 
 
-def test_wordpiece_counts(spark, docs, texts, odd, none):
-    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
-        vocabulary = wordpiece.pieces_of(f.read())
-    shared = spark.sparkContext.broadcast(vocabulary)
-    initial, continuing = map(set, vocabulary)
-    got = {r.doc_id: r for r in wordpiece.token_counts(docs, shared).collect()}
-    for k in sorted(texts)[:60]:
-        counts = [greedy(w, initial, continuing) for w in WORD.findall(texts[k])]
+@pytest.fixture(scope="module")
+def shared(spark):
+    return wordpiece.vocabulary(spark, public_tokenizers.path(queries.PIECES))
+
+
+@pytest.fixture(scope="module")
+def pieces(shared):
+    """Pieces of a word by greedy search."""
+    initial, continuing = map(set, shared.value)
+    return lru_cache(None)(lambda w: greedy(w, initial, continuing))
+
+
+def test_wordpiece_query_against_greedy_search(spark, texts, odd, none, shared, pieces):
+    got = {r.doc_id: r for r in queries.QUERIES["op8_token_counts"](spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    for k in texts:
+        counts = [pieces(w) for w in WORD.findall(texts[k])]
         assert (got[k].n_words, got[k].n_tokens, got[k].n_unknown) == (len(counts), sum(c or 1 for c in counts), counts.count(0))
     assert rows(wordpiece.token_counts(odd, shared, max_chars=100), "n_words") == sorted(((len(WORD.findall(r[1] or "")),) for r in ODD), key=str)
     assert wordpiece.token_counts(none, shared).count() == 0
@@ -445,7 +457,7 @@ def test_pii_query_against_its_sql(spark, tmp_path):
 # ---- lines
 
 
-def brute_lines(table, ratio=lines.MAX_RATIO, least=lines.MIN_PAGES):
+def brute_lines(table, ratio=lines.MAX_RATIO, least=1, whole=False):
     strip = lambda x: x.strip(" \t\x0b\x0c\r")
     total, pages = Counter(h for h, _ in table), Counter()
     for h, t in table:
@@ -454,20 +466,23 @@ def brute_lines(table, ratio=lines.MAX_RATIO, least=lines.MIN_PAGES):
     out = []
     for h, t in table:
         kept = [x for x in (t or "").split("\n") if (h, strip(x)) not in bad]
-        out.append(t if t is None or not any(map(strip, kept)) else "\n".join(kept))
+        out.append(t if t is None or whole and not any(map(strip, kept)) else "\n".join(kept))
     return out
 
 
 def test_lines_against_brute_force(spark, docs, odd, none):
     made = [("h" if i % 3 else None, "\n".join([" top ", f"own {i}", "", "rare" if i == 5 else "end\t", "top"])) for i in range(60)] + [("one", "top\nalone"), ("h", "top\nend"), ("h", None), ("h", "")]
     df = spark.createDataFrame([(i, h, t) for i, (h, t) in enumerate(made)], "page_id long, host string, body string")
-    got = {r.page_id: r.body for r in lines.drop_boilerplate(df, host_col="host", text_col="body", max_ratio=0.5).collect()}
-    assert got == dict(enumerate(brute_lines(made, 0.5)))
+    for least, whole in ((1, False), (5, True)):
+        got = {r.page_id: r.body for r in lines.drop_boilerplate(df, host_col="host", text_col="body", max_ratio=0.5, min_pages=least, keep_whole=whole).collect()}
+        assert got == dict(enumerate(brute_lines(made, 0.5, least, whole)))
+        assert (got[60], got[61]) == (("top\nalone", "top\nend") if whole else ("", ""))
     table = [(r.source, r.text) for r in docs.orderBy("doc_id").collect()]
     got = [r.text for r in lines.drop_boilerplate(docs, host_col="source", text_col="text").orderBy("doc_id").collect()]
     assert got == brute_lines(table)
-    out = lines.drop_boilerplate(odd, host_col="source", text_col="text", count_cols=("n_lines", "n_dropped"))
+    out = lines.drop_boilerplate(odd, host_col="source", text_col="text", min_pages=5, keep_whole=True, count_cols=("n_lines", "n_dropped"))
     assert out.columns == [*odd.columns, "n_lines", "n_dropped"] and rows(out, "text") == sorted(((r[1],) for r in ODD), key=str)
+    assert rows(lines.drop_boilerplate(odd, host_col="source", text_col="text"), "text") == sorted(((t,) for t in brute_lines([(r[3], r[1]) for r in ODD])), key=str)
     assert lines.drop_boilerplate(none, host_col="source", text_col="text").count() == 0
 
 
@@ -505,6 +520,25 @@ def check_packed(packed, lengths, max_length, budget):
     assert all(n <= 1 for n in by_bucket.values())  # only a bucket's last batch has room left
 
 
+def test_packing_query_against_brute_force(spark, texts, pieces):
+    packed = queries.QUERIES["op1_length_buckets"](spark, SF).collect()
+    lengths = {k: sum(pieces(w) or 1 for w in WORD.findall(t)) for k, t in texts.items()}
+    check_packed(packed, lengths, 2048, 65_536)
+    histogram = Counter(r.length for r in packed)
+    assert padding(histogram, {r.bucket_length for r in packed}) == padding(histogram, packing.boundaries(histogram, 16))
+
+
+def test_packing_equal_rows(spark, monkeypatch):
+    """A third of all rows share an id, and most of those a length."""
+    monkeypatch.setattr(packing, "RUN", 100)
+    table = [(None, 7)] * 450 + [(None, n % 30) for n in range(150)] + [(i, i % 50) for i in range(1200)]
+    packed = packing.pack(spark.createDataFrame(table, "doc_id long, n long"), F.col("n"), max_length=32, n_buckets=4, token_budget=64).collect()
+    want = Counter()
+    for i, n in table:
+        want[i] += n
+    check_packed(packed, want, 32, 64)
+
+
 def test_packing(docs, texts, odd, none):
     packed = packing.pack(docs, packing.word_count(F.col("text")), max_length=256, n_buckets=5, token_budget=1024).collect()
     check_packed(packed, {k: len(WORD.findall(t)) for k, t in texts.items()}, 256, 1024)
@@ -564,6 +598,15 @@ def test_search_ties_and_odd_ids(spark):
     assert len(got["z7"]) == 12 and all(i.startswith("z") for i, _ in got["z7"])
 
 
+def test_search_blocks_hold_at_most_so_many_terms(spark):
+    sizes = [1, 3, 9, 2, 40, 5] * 20 + [300]
+    df = spark.createDataFrame([(i, [0] * n) for i, n in enumerate(sizes)], "query_id long, terms array<long>")
+    of, blocks = search.query_blocks(df, 100)
+    held = [df.where(of.between(a, z)).agg(F.sum(F.size("terms")), F.max(F.size("terms"))).first() for a, z in blocks]
+    assert sum(n for n, _ in held) == sum(sizes) and all(n <= 100 or most == 300 for n, most in held)
+    assert sum(z - a + 1 for a, z in blocks) <= search.CLASSES * 13 and search.query_blocks(df.limit(0), 100)[1] == []
+
+
 # ---- shards
 
 
@@ -654,7 +697,7 @@ def test_shards_list_all_now_and_then(spark, monkeypatch):
 # ---- pipeline
 
 
-def test_pipeline_stages_against_brute_force(spark, docs):
+def test_pipeline_stages_against_brute_force(spark, docs, pieces):
     import corpus_pipeline as p
 
     now = docs
@@ -669,15 +712,15 @@ def test_pipeline_stages_against_brute_force(spark, docs):
                 return not (n < 10 or 100 * rep > 20 * n or 10 * symbols > n or dup >= 10 and n < 5 * dup or chars < 2 * n or chars > 25 * n)
             assert after == {k: t for k, t, _ in before if good(t)}
         if name == "line_dedup":
-            assert after == dict(zip((k for k, *_ in before), brute_lines([(s, t) for _, t, s in before]), strict=True))
+            assert after == dict(zip((k for k, *_ in before), brute_lines([(s, t) for _, t, s in before], least=5, whole=True), strict=True))
         if name == "near_dedup":
-            group = brute_components({k: brute_fingerprint(t) for k, t, _ in before})
+            group = brute_similar({k: t for k, t, _ in before})
             assert after == {k: t for k, t, _ in before if group[k] == k}
         if name == "personal_data":
             assert after.keys() == {k for k, *_ in before}
             assert not any(brute_pii(t) for t in after.values())
     packed = p.run(spark, SF).collect()
-    check_packed(packed, {k: len(WORD.findall(t)) for k, t in after.items()}, 2048, 65_536)
+    check_packed(packed, {k: sum(pieces(w) or 1 for w in WORD.findall(t)) for k, t in after.items()}, 2048, 65_536)
 
 
 def test_pipeline_odd(spark, odd, none):
