@@ -12,33 +12,45 @@ from pyspark.sql import types as T
 RAW, ZSTD, LEVEL = 0, 1, 3
 
 
-def encode(data: bytes, compressor: zstandard.ZstdCompressor | None = None) -> tuple[int, bytes]:
-    if not data:
-        return RAW, b""
-    packed = (compressor or zstandard.ZstdCompressor(level=LEVEL)).compress(data)
-    return (RAW, data) if len(packed) + len(data) // 20 >= len(data) else (ZSTD, packed)
+class Codec:
+    """One compressor and one decompressor, for a task or a batch."""
+
+    def __init__(self) -> None:
+        self.compressor, self.decompressor = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
+
+    def encode(self, data: bytes) -> tuple[int, bytes]:
+        if not data:
+            return RAW, b""
+        packed = self.compressor.compress(data)
+        return (RAW, data) if len(packed) + len(data) // 20 >= len(data) else (ZSTD, packed)
+
+    def decode(self, codec: int, payload: bytes, size: int) -> bytes:
+        if codec == RAW:
+            out = payload
+        elif codec == ZSTD:
+            out = self.decompressor.decompress(payload, max_output_size=size)
+        else:
+            raise ValueError(f"unknown codec {codec}")
+        if len(out) != size:
+            raise ValueError(f"payload of {len(out)} bytes, {size} expected")
+        return out
+
+
+def encode(data: bytes) -> tuple[int, bytes]:
+    return Codec().encode(data)
 
 
 def decode(codec: int, payload: bytes, size: int) -> bytes:
-    if codec == RAW:
-        out = payload
-    elif codec == ZSTD:
-        out = zstandard.ZstdDecompressor().decompress(payload, max_output_size=size)
-    else:
-        raise ValueError(f"unknown codec {codec}")
-    if len(out) != size:
-        raise ValueError(f"payload of {len(out)} bytes, {size} expected")
-    return out
+    return Codec().decode(codec, payload, size)
 
 
 def _encode_all(content: pd.Series) -> pd.DataFrame:
-    compressor = zstandard.ZstdCompressor(level=LEVEL)
-    pairs = [encode(c, compressor) for c in content]
+    pairs = list(map(Codec().encode, content))
     return pd.DataFrame({"codec": [c for c, _ in pairs], "payload": [p for _, p in pairs]})
 
 
 def _decode_all(codec: pd.Series, payload: pd.Series, size: pd.Series) -> pd.Series:
-    return pd.Series([decode(c, p, n) for c, p, n in zip(codec, payload, size, strict=True)])
+    return pd.Series(list(map(Codec().decode, codec, payload, size)), dtype=object)
 
 
 def encoded(content: Column | str) -> Column:

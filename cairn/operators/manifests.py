@@ -42,8 +42,13 @@ def refs(entries: DataFrame) -> DataFrame:
 
 
 def info(entries: DataFrame) -> DataFrame:
-    """By snapshot: files, logical bytes, references, distinct chunks and the manifest's size as JSON."""
-    each = entries.select("snapshot", "path", "size", F.explode_outer("chunks").alias("digest"))
-    chunks = each.groupBy("snapshot").agg(F.count("digest").alias("refs"), F.count_distinct("digest").alias("distinct_chunks"))
-    files = entries.groupBy("snapshot").agg(F.count("*").alias("files"), F.sum("size").alias("logical_bytes"))
-    return files.join(chunks, "snapshot").select("snapshot", "files", "logical_bytes", "refs", "distinct_chunks")
+    """By snapshot: files, logical bytes, references and distinct chunks."""
+    return summary(entries, entries.select("snapshot", F.explode("chunks").alias("digest")))
+
+
+def summary(files: DataFrame, refs: DataFrame) -> DataFrame:
+    """The same of files (snapshot, size) and references (snapshot, digest)."""
+    chunks = refs.groupBy("snapshot").agg(F.count("digest").alias("refs"), F.count_distinct("digest").alias("distinct_chunks"))
+    whole = files.groupBy("snapshot").agg(F.count("*").alias("files"), F.sum("size").alias("logical_bytes"))
+    joined = whole.join(chunks, "snapshot", "left").na.fill(0, ["refs", "distinct_chunks"])
+    return joined.select("snapshot", "files", "logical_bytes", "refs", "distinct_chunks")

@@ -24,6 +24,7 @@ from cairn.functions import checks, codec
 from cairn.functions.blake3 import blake3, blake3_many
 from cairn.operators import index as ix
 from cairn.operators import manifests
+from cairn.session import drop_written, written
 
 # Fixed values of the format: marks, versions, layouts, limits.
 PACK_MAGIC, OBJECT_MAGIC, CHECKPOINT_MAGIC = b"RELICPAK", b"RLOB", b"RLCKPT01"
@@ -163,9 +164,12 @@ def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     return _tasks(spark, [path], scan_checkpoint, PLACES)
 
 
-def checkpoint_bytes(rows: list[dict], lsn: int) -> bytes:
-    body = b"".join(CHECKPOINT_ROW.pack(bytes.fromhex(r["digest"]), r["pack_id"], r["offset"]) for r in rows)
-    return CHECKPOINT_HEADER.pack(CHECKPOINT_MAGIC, CHECKPOINT_VERSION, len(rows), lsn, blake3_many([body])[0]) + body
+def checkpoint_row(digest: bytes, pack_id: int, offset: int) -> bytes:
+    return CHECKPOINT_ROW.pack(digest, pack_id, offset)
+
+
+def checkpoint_bytes(body: bytes, lsn: int) -> bytes:
+    return CHECKPOINT_HEADER.pack(CHECKPOINT_MAGIC, CHECKPOINT_VERSION, len(body) // CHECKPOINT_ROW.size, lsn, blake3_many([body])[0]) + body
 
 
 def read_index(spark: SparkSession, store: str) -> DataFrame:
@@ -197,8 +201,7 @@ def read_files(spark: SparkSession, store: str, snapshot: str) -> DataFrame:
     fault = F.when(F.col("bytes").isNull(), F.raise_error(F.concat(F.lit("missing object "), F.col("digest"))))
     fault = fault.when(F.lower(F.hex(blake3("bytes"))) != F.col("digest"), F.raise_error(F.concat(F.lit("misnamed object "), F.col("digest"))))
     parts = found.select("path", "chunk_idx", F.coalesce(fault.cast("binary"), F.col("bytes")).alias("bytes"))
-    joined = F.aggregate(F.sort_array(F.collect_list(F.struct("chunk_idx", "bytes"))), F.lit(b""), lambda a, x: F.concat(a, x["bytes"]))
-    whole = parts.groupBy("path").agg(joined.alias("content"))
+    whole = parts.groupBy("path").agg(F.expr("listagg(bytes, x'') WITHIN GROUP (ORDER BY chunk_idx)").alias("content"))
     out = entries.join(whole, "path", "left").withColumn("content", F.coalesce("content", F.lit(b"")))
     return out.select("snapshot", "path", "size", "mode", "content")
 
@@ -243,40 +246,102 @@ def write_packs(objects: DataFrame, folder: str, created_at: int | None = None)
     return read_packs(spark, folder).select("digest", "pack_id", "offset")
 
 
-def write_checkpoint(places: DataFrame, path: str, lsn: int = 0) -> None:
-    """The checkpoint of (digest, pack_id, offset), written by one task and renamed into place."""
+def _in_one_task(rows: DataFrame, path: str, write) -> int:
+    """``write(file, batches)`` by one task, which returns a number; the file is renamed into place when whole."""
 
     def run(batches):
-        rows = [r for b in batches for r in b.to_pylist()]
-        tmp = f"{path}.{os.getpid()}.tmp"
+        tmp = f"{path}.{os.getpid()}.{time.time_ns()}.tmp"
         with open(tmp, "wb") as f:
-            f.write(checkpoint_bytes(rows, lsn))
+            n = write(f, batches)
             f.flush()
             os.fsync(f.fileno())
         os.replace(tmp, path)
-        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], names=["n"])
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return rows.coalesce(1).mapInArrow(run, "n bigint").first()[0]
+
+
+def write_checkpoint(places: DataFrame, path: str, lsn: int = 0) -> int:
+    """The checkpoint of (digest, pack_id, offset); the digest of its rows precedes them, so one task holds their 44 bytes each. Returns how many."""
+
+    def write(f, batches) -> int:
+        body, n = bytearray(), 0
+        for b in batches:
+            for d, pack_id, offset in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                body += checkpoint_row(bytes.fromhex(d), pack_id, offset)
+                n += 1
+        f.write(checkpoint_bytes(bytes(body), lsn))
+        return n
+
+    return _in_one_task(places.select("digest", "pack_id", "offset").orderBy("digest"), path, write)
+
+
+def write_log(changes: DataFrame, path: str) -> int:
+    """The log of changes (op, lsn, digest, pack_id, offset) in order of their numbers, as a stream of records; returns how many."""
+
+    def write(f, batches) -> int:
+        n = 0
+        for b in batches:
+            for op, lsn, d, pack_id, offset in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                f.write(log_record(op, lsn, bytes.fromhex(d), pack_id, offset))
+                n += 1
+        return n
+
+    return _in_one_task(changes.select("op", "lsn", "digest", "pack_id", "offset").orderBy("lsn"), path, write)
+
+
+def write_manifests(files: DataFrame, folder: str) -> int:
+    """A JSON manifest for each snapshot of (snapshot, is_directory, path, size, mode, chunks), a file's entry at a time; returns how many."""
+    os.makedirs(folder, exist_ok=True)
+    texts = files.select("snapshot", "is_directory", F.to_json(F.struct("path", "size", "mode", "chunks")).alias("entry"), "path")
+    dealt = texts.repartition("snapshot").sortWithinPartitions("snapshot", "path")
 
-    places.select("digest", "pack_id", "offset").orderBy("digest").coalesce(1).mapInArrow(run, "n bigint").collect()
+    def run(batches):
+        now, f, tmp, n = None, None, "", 0
+
+        def close() -> None:
+            if f is not None:
+                f.write("]}")
+                f.flush()
+                os.fsync(f.fileno())
+                f.close()
+                os.replace(tmp, os.path.join(folder, now))
 
+        for batch in batches:
+            for snapshot, is_directory, entry, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if snapshot != now:
+                    close()
+                    now, n = snapshot, n + 1
+                    tmp = os.path.join(folder, f"{snapshot}.{time.time_ns()}.tmp")
+                    f = open(tmp, "w", encoding="utf-8")  # noqa: SIM115
+                    f.write('{"is_directory":' + ("true" if is_directory else "false") + ',"files":[' + entry)
+                else:
+                    f.write("," + entry)
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return dealt.mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-def export(objects: DataFrame, entries: DataFrame, store: str) -> None:
+
+def export(objects: DataFrame, entries: DataFrame, store: str, as_log: bool = False) -> int:
     """Write objects (digest, pack_id, codec, original_size, payload) and files (snapshot, is_directory, path, size, mode, chunks) as a store.
 
     Objects get BLAKE3 names, whatever their digests were, and manifests refer to those. Packs first,
-    then the checkpoint, then the manifests. The driver writes one manifest at a time.
+    then the index, as a checkpoint or as a log of insertions, then the manifests; returns how many. A snapshot without files has none.
     """
-    named = objects.withColumn("blake3", checks.to_hex(blake3(codec.decoded("codec", "payload", "original_size"))))
-    write_checkpoint(write_packs(named.drop("digest").withColumnRenamed("blake3", "digest"), os.path.join(store, "packs")), os.path.join(store, "index.ckpt"))
-    open(os.path.join(store, "index.wal"), "ab").close()
-    refs = manifests.refs(entries).join(named.select("digest", "blake3"), "digest").select("snapshot", "path", "chunk_idx", F.col("blake3").alias("digest"))
+    named = written(objects.select("digest", checks.to_hex(blake3(codec.decoded("codec", "payload", "original_size"))).alias("blake3")), "names")
+    places = write_packs(objects.join(named, "digest").drop("digest").withColumnRenamed("blake3", "digest"), os.path.join(store, "packs"))
+    log, checkpoint = os.path.join(store, "index.wal"), os.path.join(store, "index.ckpt")
+    if as_log:
+        # numbers in order of place, a range of them for each task
+        numbered = written(places.select("*", F.monotonically_increasing_id().alias("lsn")), "places")
+        write_log(numbered.select(F.lit(ix.INSERT).cast("tinyint").alias("op"), (F.col("lsn") + 1).alias("lsn"), "digest", "pack_id", "offset"), log)
+        drop_written(numbered)
+    else:
+        write_checkpoint(places, checkpoint)
+        open(log, "ab").close()
+    refs = manifests.refs(entries).join(named, "digest").select("snapshot", "path", "chunk_idx", F.col("blake3").alias("digest"))
     files = manifests.file_entries(entries, refs).join(entries.select("snapshot", "path", "is_directory"), ["snapshot", "path"])
-    listed = F.sort_array(F.collect_list(F.struct("path", "size", "mode", "chunks"))).alias("files")
-    texts = files.groupBy("snapshot").agg(F.first("is_directory").alias("is_directory"), listed)
-    os.makedirs(folder := os.path.join(store, "manifests"), exist_ok=True)
-    for r in texts.select("snapshot", F.to_json(F.struct("is_directory", "files")).alias("text")).toLocalIterator():
-        tmp = os.path.join(folder, r.snapshot + ".tmp")
-        with open(tmp, "w", encoding="utf-8") as f:
-            f.write(r.text)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(tmp, os.path.join(folder, r.snapshot))
+    n = write_manifests(files, os.path.join(store, "manifests"))
+    drop_written(named)
+    return n

@@ -9,10 +9,11 @@ from cairn.store import SnapshotStore
 
 
 def ingest_stream(stream: DataFrame, store: SnapshotStore, checkpoint: str, prefix: str = "batch") -> StreamingQuery:
-    """Store the files (path, size, mode, content) of each micro-batch as snapshot ``<prefix>-<number>``.
+    """Store the files (path, mode, content) of each micro-batch as snapshot ``<prefix>-<number>``.
 
-    A batch that is run again after a failure replaces its own snapshot, and its chunks are
-    already indexed, so the store ends as if it had run once.
+    A batch that is run again after a failure, wherever that came, replaces its own snapshot. Chunks
+    that were indexed are not stored again; objects that were not are unknown to the index, and gc
+    drops them. So readers see what they would see had it run once.
     """
 
     def put(batch: DataFrame, number: int) -> None:

@@ -96,3 +96,15 @@ def test_log(spark, tmp_path):
     bs.write_checkpoint(spark.createDataFrame([(a.hex(), 3, 28)], bs.PLACES), str(tmp_path / "index.ckpt"), lsn=1)
     assert bs.checkpoint_lsn(str(tmp_path / "index.ckpt")) == 1
     assert bs.read_index(spark, str(tmp_path)).select(F.sort_array(F.collect_list("digest"))).count() == 1
+
+
+def test_log_written_and_read(spark, tmp_path, exported):
+    rows = [(1, 3, "03" * 32, 0, 81), (1, 1, "01" * 32, 0, 28), (2, 4, "01" * 32, 0, 0), (1, 2, "02" * 32, 0, 55)]
+    path = str(tmp_path / "index.wal")
+    assert bs.write_log(spark.createDataFrame(rows, "op tinyint, lsn bigint, digest string, pack_id bigint, offset bigint"), path) == 4
+    assert [tuple(r) for r in bs.read_log(spark, path).collect()] == sorted(rows, key=lambda r: r[1]) and os.path.getsize(path) == 4 * 57
+    tree, out, store = exported
+    as_log = str(tmp_path / "logged")
+    assert export_store(store, as_log, as_log=True) == {"snapshots": 1} and not os.path.exists(os.path.join(as_log, "index.ckpt"))
+    assert sorted(map(tuple, bs.read_index(spark, as_log).collect())) == sorted(map(tuple, bs.read_index(spark, out).collect()))
+    assert {r.path: bytes(r.content) for r in bs.read_files(spark, as_log, "one").collect()} == tree
