@@ -32,6 +32,18 @@ b AS (SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_word
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b
 """
 
+OP7 = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS MATERIALIZED (SELECT r, i, md5_number(b[i + 1 : i + 200]) AS k FROM (SELECT r, b, unnest(range(n - 199)) AS i FROM d WHERE n >= 200)),
+hit AS (SELECT r, i FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+new AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200, true)::INT AS fresh FROM hit),
+run AS (SELECT r, min(i) AS s, max(i) + 200 AS e FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM new) GROUP BY r, g),
+gap AS (SELECT r, s, lag(e, 1, 0) OVER (PARTITION BY r ORDER BY s) AS p FROM (SELECT r, s, e FROM run UNION ALL SELECT r, n, n FROM d)),
+kept AS (SELECT r, sha256(unhex(string_agg(hex(b[p + 1 : s]), '' ORDER BY s, p))) AS kept_sha256 FROM gap JOIN d USING (r) GROUP BY r),
+gone AS (SELECT r, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans FROM run GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256 FROM d JOIN kept USING (r) LEFT JOIN gone USING (r)
+"""
+
 OP10 = r"""
 WITH l AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
 e AS (SELECT doc_id, source, trim(u, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS k FROM (SELECT doc_id, source, unnest(ls) AS u FROM l)),
@@ -96,4 +108,4 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN a USING (doc_id)
 """
 
-ORACLE = {"op2_pii": OP2, "op4_sharding": OP4, "op5_bm25": OP5, "op6_quality_rules": OP6, "op10_site_lines": OP10}
+ORACLE = {"op2_pii": OP2, "op4_sharding": OP4, "op5_bm25": OP5, "op6_quality_rules": OP6, "op7_suffixes": OP7, "op10_site_lines": OP10}

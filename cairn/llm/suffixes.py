@@ -13,7 +13,9 @@ whose whole contents occur twice are repeats throughout; where contents under on
 the passages of one run for each content are compared: in one task for an anchor with up to MANY
 contents, beyond that as rows of their own, dealt by their hashes.
 
-Contents are compared by 64-bit hashes within an anchor's 64-bit hash, texts by their 64-bit hash.
+Contents are compared by 64-bit hashes within an anchor's 64-bit hash, texts by 128 bits (``h1``, ``h2``).
+Where many rows share an anchor or a text, the joins by it are of plain written tables, which
+adaptive execution splits.
 
 Defined results: a null text is empty; a text shorter than ``length`` has nothing to remove; rows
 with equal texts are documents of their own, so each loses all that a long enough text has; null
@@ -26,6 +28,7 @@ import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -126,20 +129,20 @@ def runs_in(texts: list[bytes], hasher: Hasher, length: int, anchor: int) -> tup
 
 
 def runs(df: DataFrame, length: int, anchor: int) -> DataFrame:
-    """(text_hash, start, n, key, content) for every run of (text_hash, text)."""
+    """(h1, h2, start, n, key, content) for every run of (h1, h2, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(PIECE)
         for batch in batches:
-            names = batch.column(0).to_numpy()
+            names = [batch.column(i).to_numpy() for i in (0, 1)]
             for a in range(0, batch.num_rows, 256):
-                which, start, n, key, content = runs_in(batch.column(1).slice(a, 256).to_pylist(), hasher, length, anchor)
+                which, start, n, key, content = runs_in(batch.column(2).slice(a, 256).to_pylist(), hasher, length, anchor)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[a + which]), pa.array(start), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(content.view(np.int64))],
-                    names=["text_hash", "start", "n", "key", "content"],
+                    [*(pa.array(h[a + which]) for h in names), pa.array(start), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(content.view(np.int64))],
+                    names=["h1", "h2", "start", "n", "key", "content"],
                 )
 
-    return df.select("text_hash", F.col("text").cast("binary").alias("text")).mapInArrow(run, "text_hash long, start long, n int, key long, content long")
+    return df.select("h1", "h2", F.col("text").cast("binary").alias("text")).mapInArrow(run, "h1 long, h2 long, start long, n int, key long, content long")
 
 
 def release() -> None:
@@ -191,21 +194,22 @@ class SuffixIndex:
 
 
 def _contexts(length: int):
-    """(key, content_count, kinds, text_hash, start, context) of the runs listed for a text."""
+    """(key, content_count, kinds, h1, h2, start, context) of the runs listed for a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                text, listed = batch.column(1)[k].as_py(), batch.column(2)[k].values
+                text, listed = batch.column(2)[k].as_py(), batch.column(3)[k].values
                 key, start, n, count, kinds = (listed.field(i) for i in range(5))
                 context = [text[s : s + m + length - 1] for s, m in zip(start.to_pylist(), n.to_pylist(), strict=True)]
-                name = pa.array(np.full(len(context), batch.column(0)[k].as_py()))
-                yield pa.RecordBatch.from_arrays([key, count, kinds, name, start, pa.array(context, pa.binary())], names=["key", "c", "kinds", "text_hash", "start", "context"])
+                name = [pa.array(np.full(len(context), batch.column(i)[k].as_py())) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([key, count, kinds, *name, start, pa.array(context, pa.binary())], names=["key", "c", "kinds", "h1", "h2", "start", "context"])
 
     return run
 
 
-CONTEXT = "key long, c long, kinds long, text_hash long, start long, context binary"
+CONTEXT = "key long, c long, kinds long, h1 long, h2 long, start long, context binary"
+SPANS = "h1 long, h2 long, start long, end long"
 
 
 def _windows(contexts: list[bytes], length: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,14 +230,14 @@ def _windows(contexts: list[bytes], length: int, hasher: Hasher) -> tuple[np.nda
 
 
 def _compare(length: int):
-    """Spans (text_hash, start, end) of passages that another run at the same anchor has; rows come sorted by key."""
+    """Spans (h1, h2, start, end) of passages that another run at the same anchor has; rows come sorted by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(PIECE)
 
         def spans(rows: pa.RecordBatch) -> pa.RecordBatch:
-            key, c, name, start = (rows.column(i).to_numpy() for i in (0, 1, 3, 4))
-            row, offset, h = _windows(rows.column(5).to_pylist(), length, hasher)
+            key, c, h1, h2, start = (rows.column(i).to_numpy() for i in (0, 1, 3, 4, 5))
+            row, offset, h = _windows(rows.column(6).to_pylist(), length, hasher)
             h = h + key.view(np.uint64)[row] * _BASE  # passages match under one anchor only
             _, which, count = np.unique(h, return_inverse=True, return_counts=True)
             twice = (count[which] > 1) & (c[row] == 1)
@@ -242,7 +246,7 @@ def _compare(length: int):
             first[1:] = (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)
             last = np.append(first[1:], True)[: len(row)]
             begin, end = start[row[first]] + offset[first], start[row[last]] + offset[last] + length
-            return pa.RecordBatch.from_arrays([pa.array(name[row[first]]), pa.array(begin), pa.array(end)], names=["text_hash", "start", "end"])
+            return pa.RecordBatch.from_arrays([pa.array(h1[row[first]]), pa.array(h2[row[first]]), pa.array(begin), pa.array(end)], names=["h1", "h2", "start", "end"])
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -263,59 +267,60 @@ def _compare(length: int):
 
 
 def _passages(length: int):
-    """(key, window, text_hash, start) of each passage of each context, for anchors with many contents."""
+    """(key, window, h1, h2, start) of each passage of each context, for anchors with many contents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(PIECE)
         for batch in batches:
             for a in range(0, batch.num_rows, GROUP):
                 rows = batch.slice(a, GROUP)
-                key, name, start = (rows.column(i).to_numpy() for i in (0, 3, 4))
-                row, offset, h = _windows(rows.column(5).to_pylist(), length, hasher)
-                yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(h.view(np.int64)), pa.array(name[row]), pa.array(start[row] + offset)], names=["key", "window", "text_hash", "start"])
+                key, h1, h2, start = (rows.column(i).to_numpy() for i in (0, 3, 4, 5))
+                row, offset, h = _windows(rows.column(6).to_pylist(), length, hasher)
+                columns = key[row], h.view(np.int64), h1[row], h2[row], start[row] + offset
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "window", "h1", "h2", "start"])
 
     return run
 
 
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
-    """(text_hash, start, end), distinct and maybe overlapping, of what repeats in (id, text, text_hash)."""
+    """(h1, h2, start, end), distinct and maybe overlapping, of what repeats in (id, text, h1, h2)."""
     spark = docs.sparkSession
-    all_runs = written(runs(docs, length, anchor).withColumn("batch", F.pmod("text_hash", F.lit(batches)).cast("int")), "runs", partition_by=["batch"])
+    all_runs = written(runs(docs, length, anchor).withColumn("batch", F.pmod("h1", F.lit(batches)).cast("int")), "runs", partition_by=["batch"])
     index = SuffixIndex(spark)
-    hits = None
+    found = []
     for k in range(batches):
-        found = index.add(all_runs.where(F.col("batch") == k))
-        hits = found if hits is None else hits.unionByName(found)
+        found.append(index.add(all_runs.where(F.col("batch") == k)))
         release()
     index.close()
-    again = all_runs.join(hits.distinct(), "key", "left_semi").select("key", "content", "text_hash", "start", "n")
-    again = written(again, "candidates")
+    hits = written(reduce(DataFrame.unionByName, found).distinct(), "hits")
+    again = written(all_runs.join(hits, "key", "left_semi").select("key", "content", "h1", "h2", "start", "n"), "candidates")
+    drop_written(all_runs, hits, *found)
     release()
 
-    place = F.xxhash64("text_hash", "start")
+    place = F.xxhash64("h1", "h2", "start")
     contents = written(again.groupBy("key", "content").agg(F.count("*").alias("c"), F.min(place).alias("place")), "contents")
-    mixed = contents.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = written(contents.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
     whole = again.join(contents.where("c > 1").select("key", "content"), ["key", "content"], "left_semi")
     end = F.col("start") + F.col("n") + (length - 1)
-    spans = whole.select("text_hash", "start", end.alias("end")).distinct()
+    spans = whole.select("h1", "h2", "start", end.alias("end")).distinct()
 
     first = contents.join(mixed, "key").select("key", "content", "c", "kinds", "place")
     first = again.withColumn("place", place).join(first, ["key", "content", "place"])
-    listed = first.groupBy("text_hash").agg(F.collect_set(F.struct("key", "start", "n", "c", "kinds")).alias("runs"))
-    named = docs.groupBy("text_hash").agg(F.min("id").alias("__id")).join(listed, "text_hash").withColumnRenamed("text_hash", "__hash")
-    one = docs.join(written(named, "named"), (F.col("text_hash") == F.col("__hash")) & F.col("id").eqNullSafe(F.col("__id")))
-    one = one.select("text_hash", F.col("text").cast("binary").alias("text"), "runs")
+    listed = first.groupBy("h1", "h2").agg(F.collect_set(F.struct("key", "start", "n", "c", "kinds")).alias("runs"))
+    named = docs.groupBy("h1", "h2").agg(F.min("id").alias("__id")).join(listed, ["h1", "h2"])
+    named = written(named.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), "__id", "runs"), "named")
+    one = docs.join(named, (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2")) & F.col("id").eqNullSafe(F.col("__id")))
+    one = one.select("h1", "h2", F.col("text").cast("binary").alias("text"), "runs")
     contexts = written(one.mapInArrow(_contexts(length), CONTEXT), "contexts")
     release()
     few = contexts.where(F.col("kinds") <= MANY).distinct().repartition("key").sortWithinPartitions("key")
-    parts = few.mapInArrow(_compare(length), "text_hash long, start long, end long")
-    passages = contexts.where(F.col("kinds") > MANY).mapInArrow(_passages(length), "key long, window long, text_hash long, start long")
-    at = F.xxhash64("text_hash", "start")
+    parts = few.mapInArrow(_compare(length), SPANS)
+    passages = contexts.where(F.col("kinds") > MANY).mapInArrow(_passages(length), "key long, window long, h1 long, h2 long, start long")
+    at = F.xxhash64("h1", "h2", "start")
     twice = passages.groupBy("key", "window").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a != b").select("key", "window")
-    hot = passages.join(twice, ["key", "window"], "left_semi").select("text_hash", "start", (F.col("start") + length).alias("end"))
-    parts = parts.unionByName(hot)
-    out = written(spans.unionByName(parts), "spans")
-    drop_written(all_runs, again, contexts)
+    hot = passages.join(twice, ["key", "window"], "left_semi").select("h1", "h2", "start", (F.col("start") + length).alias("end"))
+    out = written(spans.unionByName(parts).unionByName(hot), "spans")
+    drop_written(again, contents, mixed, named, contexts)
     release()
     return out
 
@@ -349,10 +354,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for every row: each byte goes that a repeated ``length``-byte string covers."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    docs = df.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
     spans = repeated_spans(docs, length=length, anchor=anchor, batches=batches)
-    by_text = spans.groupBy("text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = docs.join(by_text.withColumnRenamed("text_hash", "__hash"), F.col("text_hash") == F.col("__hash"), "left")
+    by_text = spans.groupBy("h1", "h2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    by_text = written(by_text.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), "spans"), "removed")
+    drop_written(spans)
+    joined = docs.join(by_text, (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2")), "left")
     kind = docs.schema["id"].dataType
     schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
     return joined.select("id", F.col("text").cast("binary").alias("text"), "spans").mapInArrow(_cut, schema).withColumnRenamed("id", id_col)
