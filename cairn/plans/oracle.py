@@ -22,6 +22,12 @@ SUMS = ", ".join(f"count(*) FILTER (state = '{s}') AS {s}_objects, coalesce(sum(
 STATS = f"{OBJECTS}, stats AS MATERIALIZED (SELECT * FROM (SELECT pack_id, {SUMS} FROM classified GROUP BY pack_id) WHERE live_objects + garbage_objects > 0)"
 PICKED = f"{STATS}, picked AS (SELECT pack_id, garbage_bytes / (live_bytes + garbage_bytes) AS ratio FROM stats WHERE live_bytes + garbage_bytes > 0 AND garbage_bytes / (live_bytes + garbage_bytes) >= 0.05)"
 LOG = """log AS (SELECT event_id + 1 AS lsn, CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS op, sha256(user_id::VARCHAR) AS digest, event_id // 1000 AS pack_id, event_id * 53 AS "offset" FROM events)"""
+#: The table of the reflected CRC-32, byte by byte, and each distinct chunk's bytes as numbers.
+CRC = f"""{CHUNKS},
+table_rows AS (SELECT i AS v, i::BIGINT AS c, 0 AS k FROM range(256) x(i) UNION ALL SELECT v, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM table_rows WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY v) AS t FROM table_rows WHERE k = 8),
+hexed AS MATERIALIZED (SELECT digest, hex(first(bytes)) AS h, first(length)::BIGINT AS n FROM chunks GROUP BY digest),
+numbers AS MATERIALIZED (SELECT digest, list_transform(range(n), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::BIGINT) AS bs FROM hexed)"""
 
 
 def _with(ctes: str, query: str) -> str:
@@ -65,6 +71,8 @@ ORACLE = {
       JOIN (SELECT snapshot, count(*) AS refs, count(DISTINCT digest) AS distinct_chunks FROM chunks GROUP BY snapshot) USING (snapshot)"""),
     "snapshot_list": f"WITH {FILES} SELECT snapshot, count(*) AS files, sum(size)::BIGINT AS bytes FROM files GROUP BY snapshot ORDER BY snapshot",
     "reassemble_check": "SELECT source AS snapshot, doc_id::VARCHAR AS path, sha256(text) AS digest FROM documents",
+    "crc_audit": _with(CRC, "SELECT digest, xor(list_reduce([4294967295] || bs, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS crc, true AS crc_ok FROM numbers, crc_table"),
+    "zstd_roundtrip": _with(CHUNKS, "SELECT digest, first(length) AS size, true AS fits, true AS intact FROM chunks GROUP BY digest"),
     "path_safety": f"SELECT page_id, {_PATH} AS path, NOT (starts_with({_PATH}, '/') OR list_contains(string_split({_PATH}, '/'), '..')) AS is_safe FROM pages",
     "name_validation": f"SELECT page_id, name, NOT (name IN ('', '.', '..') OR contains(name, '/') OR contains(name, chr(92)) OR ends_with(name, '.tmp')) AS is_valid FROM (SELECT page_id, {_NAME} AS name FROM pages)",
     "hex_roundtrip": "SELECT doc_id, sha256(text) AS digest, false AS short_ok FROM documents",
