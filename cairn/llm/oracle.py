@@ -29,7 +29,7 @@ m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''
   FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN dup USING (doc_id)),
 b AS (SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
     + 8 * (n_words > 0 AND n_dup_lines >= 10 AND n_words < 5 * n_dup_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 25 * n_words)::BIGINT AS failed_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits, CASE WHEN bit_count(failed_bits) = 1 THEN failed_bits ELSE 0 END AS sole_failure FROM b
 """
 
 OP7 = """

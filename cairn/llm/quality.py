@@ -12,6 +12,7 @@ not read, so their names cannot clash; an empty table gives an empty ledger.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import map_texts
+from cairn.llm.common import blocks, map_texts
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -109,7 +110,11 @@ POLICIES = {
 
 def ledger(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, the measurements, and ``failed_bits``: bit i is set if RULES[i] fails."""
-    measured = map_texts(df, _measure_all, MEASURES, id_col=id_col, text_col=text_col)
+    return with_bits(map_texts(df, _measure_all, MEASURES, id_col=id_col, text_col=text_col))
+
+
+def with_bits(measured: DataFrame) -> DataFrame:
+    """Measurements with ``failed_bits``."""
     bits = reduce(lambda a, b: a.bitwiseOR(b), (F.when(F.expr(r.fails), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(RULES)))
     return measured.withColumn("failed_bits", bits.cast("long"))
 
@@ -119,6 +124,11 @@ def keeps(policy: str = "web-v2") -> Column:
     return F.col("failed_bits").bitwiseAND(F.lit(POLICIES[policy]).cast("long")) == 0
 
 
+def sole_failure() -> Column:
+    """The bit of the one rule that a ledger row fails, 0 if it fails none or several: without that rule it would stay."""
+    return F.when(F.bit_count("failed_bits") == 1, F.col("failed_bits")).otherwise(F.lit(0).cast("long"))
+
+
 def ablation(rows: DataFrame, policy: str = "web-v2") -> DataFrame:
     """For each rule of a policy: documents failing it, failing it alone, and kept without it.
 
@@ -140,10 +150,22 @@ def ablation(rows: DataFrame, policy: str = "web-v2") -> DataFrame:
 def filter_documents(docs: DataFrame, policy: str = "web-v2") -> DataFrame:
     """The documents that pass a policy, every column of the input as it was.
 
-    The measurements come from one pass over id, text and the row itself, without a join, so
-    nothing is shuffled and rows that share an id are judged each by its own text.
+    The texts are measured where they are, without a join, so nothing is shuffled and rows that
+    share an id are judged each by its own text; texts pass through Python once.
     """
     names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("`text`").alias("body"))
-    judged = ledger(packed, id_col="row", text_col="body").where(keeps(policy))
-    return judged.select(*[F.col("row").getField(c).alias(c) for c in names])
+    others = F.struct(*[F.col(f"`{c}`") for c in names if c != "text"], F.lit(0).alias("__none"))
+    packed = docs.select(others.alias("row"), F.col("`text`").cast("binary").alias("body"))
+    schema = T.StructType([*packed.schema.fields, *(T.StructField(n, t) for n, t in MEASURES)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1)
+            sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist() if batch.num_rows else []
+            for a, b in blocks(sizes):
+                part = batch.slice(a, b - a)
+                found = _measure_all([t or b"" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, *found], names=schema.names)
+
+    judged = with_bits(packed.mapInArrow(run, schema)).where(keeps(policy))
+    return judged.select(*[F.col("body").cast("string").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in names])

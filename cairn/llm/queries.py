@@ -10,7 +10,7 @@ import corpus_pipeline
 from cairn.llm import bpe, lines, packing, pii, quality, search, sharding, simhash, suffixes, wordpiece
 from cairn.llm.common import documents
 from cairn.llm.oracle import ORACLE as SQL
-from cairn.session import scratch
+from cairn.session import scratch, written
 
 #: The vocabulary of word pieces.
 PIECES = "piece_bpe_32k.model"
@@ -52,9 +52,10 @@ def op5_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored ledger under the policy; ``sole_failure`` is the rule without which a rejected document would stay."""
     base = F.col("failed_bits").bitwiseAND(F.lit(quality.BASE).cast("long")) != 0
-    rows = quality.ledger(documents(spark, sf_dir))
-    return rows.select("doc_id", *[n for n, _ in quality.MEASURES], base.alias("base_failed"), quality.keeps().alias("kept"), "failed_bits")
+    rows = written(quality.ledger(documents(spark, sf_dir)), "ledger")
+    return rows.select("doc_id", *[n for n, _ in quality.MEASURES], base.alias("base_failed"), quality.keeps().alias("kept"), "failed_bits", quality.sole_failure().alias("sole_failure"))
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,15 @@ def test_quality_ablation(docs):
         assert (r.n_failed, r.n_failed_alone, r.n_kept_without) == (sum(x & b > 0 for x in bits), bits.count(b), sum(x & ~b == 0 for x in bits))
 
 
+def test_quality_query_against_its_sql(spark, tmp_path, docs):
+    odd_texts = spark.createDataFrame([(r[0], r[1]) for r in ODD if r[0] != 5], "doc_id long, text string")
+    got = against_sql(spark, tmp_path, docs.select("doc_id", "text").unionByName(odd_texts.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id") + 10_000)), "op6_quality_rules")
+    sole = Counter(r.sole_failure for r in got)
+    for r in quality.ablation(quality.ledger(docs)).collect():
+        assert sole[quality.BIT[r.rule]] >= r.n_failed_alone
+    assert sole[0] >= sum(r.kept for r in got)
+
+
 def test_quality_odd(odd, none):
     assert rows(quality.ledger(odd), "n_words", "word_chars", "n_repeat_words") == sorted((tuple(brute_quality(r[1] or "")[i] for i in (0, 1, 4)) for r in ODD), key=str)
     kept = quality.filter_documents(odd)
