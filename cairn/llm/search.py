@@ -3,14 +3,18 @@
 Documents are dealt by hash into shards of a bounded number of documents. A shard's index is one
 row of a table, built once: its terms with their document frequencies, and each term's postings.
 Inside a shard documents that share their weightiest term are neighbours, in blocks of ``BLOCK``.
-For a query the terms are parted: the rarer ones are essential and scored from their postings; of
-those that more than one document in ``OFTEN`` holds, only the greatest impact in each block is
-used at first, which with the essential score bounds every document. The documents with the highest
-bounds are scored whole, then all whose bound reaches the k-th best score so far: of this shard, of
-those before it in the task, or of the seed shards. The seeds, about the square root of the
-number of shards, are searched first, and their merged k-th best prunes all others. Document
-counts, lengths and document frequencies are global, so scores of different shards compare, and
-merging the shards' k best gives exactly the k best of all.
+For each block in which a term occurs the index holds the term's greatest count there and the least
+length of its documents: a bound of the term's impact in the block that needs no global statistics,
+and is the impact itself where one document of the block has the term (three quarters of cases).
+A query adds these bounds up over its terms. The blocks with the highest bounds are scored first,
+which raises the k-th best score, then those blocks whose bound still reaches it; of the others no
+posting is looked at. The k-th best is that of this shard, of those before it in the task, or of
+the seed shards. The seeds, about the square root of the number of shards, are searched first, and
+their merged k-th best prunes all others. Document counts, lengths and document frequencies are
+global, so scores of different shards compare, and merging the shards' k best gives exactly the k
+best of all.
+
+This is block-max pruning by whole blocks rather than by a pivot over cursors: see the README.
 
 Queries are taken in blocks of ``QUERY_TERMS`` terms at most (16 bytes each; a query of more terms, and
 what shares its hash class, is a block of its own), the only thing that is broadcast. Each block is one pass over the index, and its results are written before the next
@@ -42,15 +46,13 @@ from cairn.session import drop_written, reread, scratch, written
 
 K1, B = 1.2, 0.75
 BLOCK = 16
-#: A term in more than one document of so many is frequent.
-OFTEN = 6
 SHARD_DOCS = 6_000
 #: Terms of the queries that are searched at once, at most: 32 MB.
 QUERY_TERMS = 2_000_000
 #: Hash classes of queries for each block; whole classes make a block.
 CLASSES = 32
-#: Documents that are scored whole before the others are held against the k-th best, at least.
-FIRST = 64
+#: Documents whose blocks are scored before the others are held against the k-th best, at least.
+FIRST = 128
 #: Queries whose terms are looked up in a shard at once.
 LOOKED_UP = 256
 #: Scores are rounded to six places, so that much less than the k-th best may still tie with it.
@@ -100,6 +102,9 @@ def _build(id_type: pa.DataType):
         place[order] = np.arange(len(order))
         doc = np.repeat(place, sizes)
         by_term = np.lexsort((doc, term))
+        at, count = doc[by_term], counts[by_term]
+        first = _edges(held, at)
+        top, shortest = (f.reduceat(x, first) if len(first) else x for f, x in ((np.maximum, count), (np.minimum, lengths[order][at])))
         one = lambda values, kind: pa.array([values.astype(kind)], pa.list_(pa.from_numpy_dtype(kind)))
         ids = pa.chunked_array(docs.column("id").chunks, id_type).combine_chunks().take(pa.array(order))
         return pa.table(
@@ -111,45 +116,56 @@ def _build(id_type: pa.DataType):
                 "lengths": one(lengths[order], np.int64),
                 "terms": one(terms, np.int64),
                 "held": one(held, np.int32),
-                "docs": one(doc[by_term], np.int32),
-                "counts": one(counts[by_term], np.int32),
+                "docs": one(at, np.int32),
+                "counts": one(count, np.int32),
+                "tops": one(top, np.int32),
+                "shortest": one(shortest, np.int32),
             }
         )
 
     return run
 
 
+def _edges(held: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Where a term's postings in a block begin, for postings by term and document."""
+    block = docs // BLOCK
+    new = np.append(True, block[1:] != block[:-1])[: len(block)]
+    new[(np.cumsum(held, dtype=np.int64) - held)[held > 0]] = True
+    return np.flatnonzero(new)
+
+
 class Asked:
     """A block of queries: ids, where each one's terms end, its terms in order, and their weights."""
 
-    def __init__(self, rows: pa.Table, total: int, id_type: pa.DataType):
+    def __init__(self, rows: pa.Table, id_type: pa.DataType):
         self.ids = pa.chunked_array(rows.column("query_id").chunks, id_type).combine_chunks()
         self.cuts = np.append(0, np.cumsum(pa.compute.list_value_length(rows.column("terms")).to_numpy().astype(np.int64)))
         self.terms, self.weights = _flat(rows.column("terms")), _flat(rows.column("weights"))
-        self.frequent = np.unique(self.terms[_flat(rows.column("dfs")) * OFTEN > total])
         self.least = np.zeros(len(self.ids))
 
 
+def _impact(count: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
+    tf = count.astype(np.float64)
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
 class Shard:
-    """Postings sorted by term and document; impacts of the frequent terms by document and by block."""
-
-    def __init__(self, row: dict[str, pa.Array], frequent: np.ndarray, mean: float):
-        lengths, self.terms, self.held, self.doc, counts = (row[c].to_numpy() for c in ("lengths", "terms", "held", "docs", "counts"))
-        tf = counts.astype(np.float64)
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / mean))
-        self.begin = np.cumsum(self.held, dtype=np.int64) - self.held
-        # a column for each frequent term, present or not: scores are summed alike in all shards, so equal texts tie
-        self.column = np.full(len(self.terms), -1)
-        at, known = _positions(self.terms, frequent)
-        self.column[at[known]] = np.flatnonzero(known)
-        own = np.repeat(self.column, self.held)
-        often = np.flatnonzero(own >= 0)
-        self.whole = np.zeros((len(lengths), len(frequent)))
-        self.whole[self.doc[often], own[often]] = self.impact[often]
-        self.top = np.maximum.reduceat(self.whole, np.arange(0, len(lengths), BLOCK))
+    """Postings by term and document, in runs of one term and block, each with the bound of its impacts."""
+
+    def __init__(self, row: dict[str, pa.Array], mean: float):
+        lengths, self.terms, held, self.doc, counts, top, shortest = (row[c].to_numpy() for c in ("lengths", "terms", "held", "docs", "counts", "tops", "shortest"))
+        self.n = len(lengths)
+        self.impact = _impact(counts, lengths[self.doc], mean)
+        self.bound = _impact(top, shortest, mean)
+        self.start = _edges(held, self.doc)
+        self.size = np.diff(np.append(self.start, len(self.doc)))
+        self.block = self.doc[self.start] // BLOCK
+        ends = np.searchsorted(self.start, np.cumsum(held, dtype=np.int64))
+        self.first, self.runs = np.append(0, ends)[:-1], np.diff(np.append(0, ends))
         self.ids = row["ids"]
-        self.by_id = np.empty(len(lengths), np.int64)
-        self.by_id[pa.compute.sort_indices(self.ids, null_placement="at_start").to_numpy()] = np.arange(len(lengths))
+        self.by_id = np.empty(self.n, np.int64)
+        self.by_id[pa.compute.sort_indices(self.ids, null_placement="at_start").to_numpy()] = np.arange(self.n)
+        self.asked = self.scored = 0  # postings of the queries' terms, and those of them looked at
 
     def search(self, asked: Asked, k: int, least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, documents, scores): the k best that reach ``least``, which is raised on the way."""
@@ -157,38 +173,48 @@ class Shard:
             z = min(a + LOOKED_UP, len(least))
             part = slice(asked.cuts[a], asked.cuts[z])
             at, known = _positions(self.terms, asked.terms[part])
-            at, weight = at[known], asked.weights[part][known]
             of = np.repeat(np.arange(z - a), np.diff(asked.cuts[a : z + 1]))[known]
-            column = self.column[at]
-            often, n = column >= 0, self.whole.shape[1]
-            weights = np.bincount(of[often] * n + column[often], weights=weight[often], minlength=(z - a) * n).reshape(z - a, n)
-            bounds = weights @ self.top.T
-            at, weight, cuts = at[~often], weight[~often], np.searchsorted(of[~often], np.arange(z - a + 1))
+            at, weight, cuts = at[known], asked.weights[part][known], np.searchsorted(of, np.arange(z - a + 1))
             for q in range(z - a):
                 own = slice(cuts[q], cuts[q + 1])
-                found = self._best(at[own], weight[own], weights[q], bounds[q], k, least[a + q])
+                found = self._best(at[own], weight[own], k, least[a + q])
                 if found:
                     docs, scores, least[a + q] = found
                     yield a + q, docs, scores
 
-    def _best(self, at: np.ndarray, weight: np.ndarray, weights: np.ndarray, bounds: np.ndarray, k: int, least: float):
-        n = self.held[at]
-        post = _ranges(self.begin[at], n)
-        score = np.bincount(self.doc[post], weights=self.impact[post] * np.repeat(weight, n), minlength=len(self.whole))
-        bound = score + np.repeat(bounds, BLOCK)[: len(score)]
-        docs = np.flatnonzero(bound > max(least - SLACK, 0))
-        first = max(FIRST, 2 * k)
-        if len(docs) > first:
-            some = docs[np.argpartition(bound[docs], len(docs) - first)[len(docs) - first :]]
-            exact = score[some] + (self.whole[some] * weights).sum(axis=1)
-            least = max(least, float(np.partition(exact, first - k)[first - k]))
-            docs = docs[bound[docs] > max(least - SLACK, 0)]
-        exact = np.round(score[docs] + (self.whole[docs] * weights).sum(axis=1), 6)
+    def _best(self, at: np.ndarray, weight: np.ndarray, k: int, least: float):
+        if not len(at):
+            return None
+        run = _ranges(self.first[at], self.runs[at])
+        weight, block = np.repeat(weight, self.runs[at]), self.block[run]
+        bound = np.bincount(block, weights=self.bound[run] * weight, minlength=-(-self.n // BLOCK))
+        live = bound > max(least - SLACK, 0)
+        score = np.zeros(self.n)
+
+        def add(blocks: np.ndarray) -> None:
+            """Score the documents of these blocks, terms in order."""
+            some = blocks[block]
+            sizes = self.size[run[some]]
+            post = _ranges(self.start[run[some]], sizes)
+            score[:] += np.bincount(self.doc[post], weights=self.impact[post] * np.repeat(weight[some], sizes), minlength=self.n)
+            self.scored += len(post)
+
+        self.asked += int(self.size[run].sum())
+        few = -(-max(FIRST, 2 * k) // BLOCK)
+        if live.sum() > few:
+            first = np.zeros(len(live), bool)
+            first[np.argpartition(bound, len(bound) - few)[len(bound) - few :]] = True
+            add(first)
+            if self.n > k:
+                least = max(least, float(np.partition(score, self.n - k)[self.n - k]))
+            live = (bound > max(least - SLACK, 0)) & ~first
+        add(live)
+        exact = np.round(score, 6)
         good = np.flatnonzero((exact > 0) & (exact > least - SLACK))
         if not len(good):
             return None
-        best = good[np.lexsort((self.by_id[docs[good]], -exact[good]))[:k]]
-        return docs[best], exact[best], max(least, float(exact[best[-1]])) if len(best) == k else least
+        best = good[np.lexsort((self.by_id[good], -exact[good]))[:k]]
+        return best, exact[best], max(least, float(exact[best[-1]])) if len(best) == k else least
 
 
 def _positions(terms: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +237,7 @@ def _search_shards(shared: Broadcast, k: int, mean: float):
         least = asked.least.copy()
         for batch in batches:
             for i in range(batch.num_rows):
-                shard = Shard({c: batch.column(c)[i].values for c in INDEX_LISTS}, asked.frequent, mean)
+                shard = Shard({c: batch.column(c)[i].values for c in INDEX_LISTS}, mean)
                 found = list(shard.search(asked, k, least))
                 if found:
                     of = np.repeat([q for q, _, _ in found], [len(d) for _, d, _ in found])
@@ -221,7 +247,7 @@ def _search_shards(shared: Broadcast, k: int, mean: float):
     return run
 
 
-INDEX_LISTS = ("ids", "lengths", "terms", "held", "docs", "counts")
+INDEX_LISTS = ("ids", "lengths", "terms", "held", "docs", "counts", "tops", "shortest")
 
 
 def build_index(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS) -> DataFrame:
@@ -231,7 +257,7 @@ def build_index(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     bags = map_texts(df, _bags, [("n", T.LongType()), ("terms", T.ArrayType(T.LongType())), ("counts", T.ArrayType(T.IntegerType()))], id_col=id_col, text_col=text_col)
     kind = bags.schema[id_col].dataType
     long, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
-    fields = [("shard", T.IntegerType()), ("n_docs", T.LongType()), ("n_words", T.LongType()), ("ids", T.ArrayType(kind)), ("lengths", long), ("terms", long), ("held", ints), ("docs", ints), ("counts", ints)]
+    fields = [("shard", T.IntegerType()), ("n_docs", T.LongType()), ("n_words", T.LongType()), ("ids", T.ArrayType(kind)), ("lengths", long), ("terms", long), ("held", ints), ("docs", ints), ("counts", ints), ("tops", ints), ("shortest", ints)]
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
     dealt = bags.select(F.col(id_col).alias("id"), "n", "terms", "counts", F.pmod(F.xxhash64(id_col, "n", "terms"), F.lit(shards)).cast("int").alias("shard"))
     path = scratch(spark, "index")
@@ -241,14 +267,14 @@ def build_index(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
 
 def weighted_queries(df: DataFrame, index: DataFrame, total: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(query_id, terms, weights, dfs) of the rows of ``df``; a weight is occurrences times the rarity of a term."""
+    """(query_id, terms, weights) of the rows of ``df``; a weight is occurrences times the rarity of a term."""
     bags = map_texts(df, _bags, [("n", T.LongType()), ("terms", T.ArrayType(T.LongType())), ("counts", T.ArrayType(T.IntegerType()))], id_col=id_col, text_col=text_col)
     df_of = index.select(F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("held").alias("held")))).groupBy("term").agg(F.sum("held").alias("df"))
     asked = bags.select(F.col(id_col).alias("query_id"), F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("counts").alias("qf"))))
     idf = F.log(F.lit(1.0) + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.join(df_of, "term").select("query_id", "term", (F.col("qf") * idf).alias("weight"), "df")
-    pairs = F.sort_array(F.collect_list(F.struct("term", "weight", "df")))
-    return weighted.groupBy("query_id").agg(pairs.alias("p")).select("query_id", F.col("p.term").alias("terms"), F.col("p.weight").alias("weights"), F.col("p.df").alias("dfs"))
+    weighted = asked.join(df_of, "term").select("query_id", "term", (F.col("qf") * idf).alias("weight"))
+    pairs = F.sort_array(F.collect_list(F.struct("term", "weight")))
+    return weighted.groupBy("query_id").agg(pairs.alias("p")).select("query_id", F.col("p.term").alias("terms"), F.col("p.weight").alias("weights"))
 
 
 def query_blocks(queries: DataFrame, query_terms: int) -> tuple[Column, list[tuple[int, int]]]:
@@ -291,7 +317,7 @@ def top_k(
     path = scratch(spark, "found")
     for a, z in blocks:
         rows = queries.where(of.between(a, z)).toArrow().combine_chunks()
-        asked = Asked(rows, total, to_arrow_type(kind))
+        asked = Asked(rows, to_arrow_type(kind))
 
         def found(part: Column, shared: Broadcast) -> DataFrame:
             return index.where(part).select(*INDEX_LISTS).mapInArrow(_search_shards(shared, k, mean), schema)
