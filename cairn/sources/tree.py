@@ -105,7 +105,7 @@ class Tree:
 
     def refs(self, files: DataFrame) -> DataFrame:
         """The chunks of ``files`` (a written listing), each file read once, a large one twice."""
-        n, size = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        n, size, large = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.count_if(F.col("size") > LARGE)).first()
         schema = arrow_schema(REFS)
 
         def small(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -119,7 +119,8 @@ class Tree:
                         start = end
 
         few = files.where(F.col("size") <= LARGE).select("file", "path").repartition(self._tasks(n, size), "path")
-        return few.mapInArrow(lambda b: batches_of(small(b), schema), REFS).unionByName(self._large(files.where(F.col("size") > LARGE)))
+        found = few.mapInArrow(lambda b: batches_of(small(b), schema), REFS)
+        return found.unionByName(self._large(files.where(F.col("size") > LARGE))) if large else found
 
     def _large(self, files: DataFrame) -> DataFrame:
         marks_schema, cuts, refs_schema = "file string, path string, size bigint, at bigint, marks array<bigint>", "file string, path string, chunk_idx bigint, offset bigint, length bigint", arrow_schema(REFS)

@@ -2,7 +2,7 @@
 
 Layout below one folder, on any file system that Hadoop knows:
 
-    objects/pack=<id>/            payloads of a pack: digest, place, codec, sizes, CRC
+    objects/b=<id>/pack=<n>/      payloads of a pack: digest, place, codec, sizes, CRC; packs written together
     index/v=<n>/                  checkpoint of the index
     log/lsn=<n>/                  index changes since, one folder a commit
     CURRENT/v=<n>                 the checkpoint in force: the last
@@ -10,8 +10,8 @@ Layout below one folder, on any file system that Hadoop knows:
     LOCK                          the writer: machine, process, time
 
 A folder is written aside and renamed into place, and nothing is ever renamed onto something. A
-backup renames packs, then the index log, then the manifest; a compaction renames new packs, then
-one log folder that moves what lives and erases what does not, and deletes the old packs last. So
+backup renames its packs as one folder, then the index log, then the manifest; a compaction renames
+new packs, then one log folder that moves what lives and erases what does not, and deletes the old packs last. So
 whatever a crash leaves is either not referred to by the index (objects no reader looks up) or an
 older version. The next writer drops what lies aside, and ``gc`` drops packs that the index does not know.
 
@@ -27,6 +27,7 @@ import json
 import math
 import os
 import posixpath
+import re
 import socket
 import time
 import uuid
@@ -251,17 +252,33 @@ class SnapshotStore:
     def _empty(self, schema: str) -> DataFrame:
         return self.spark.createDataFrame([], schema)
 
+    def _pack_folders(self) -> dict[int, str]:
+        """Where each pack lies below ``objects``; names come over in one string, as a large store has many."""
+        fs, p = self._fs(self._p("objects/b=*/pack=*"))
+        found = fs.globStatus(p)
+        if not found:
+            return {}
+        jvm = self.spark._jvm
+        text = jvm.java.util.Arrays.deepToString(jvm.java.util.List.of(jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(found)).toArray())
+        return {int(k): folder for folder, k in re.findall(r"/objects/(b=[0-9a-f]{32}/pack=([0-9]+))(?=[,\]])", text)}
+
     def packs(self) -> list[int]:
-        return sorted(int(n[5:]) for n in self._names("objects") if n.startswith("pack="))
+        return sorted(self._pack_folders())
 
     def objects(self, packs: list[int] | None = None) -> DataFrame:
         """The objects of some packs, or of all."""
-        have = self.packs()
-        if packs is not None:
-            have = sorted({*have} & {*packs})
-        if not have:
+        have = self._pack_folders()
+        wanted = sorted(have if packs is None else {*have} & {*packs})
+        if not wanted:
             return self._empty(OBJECT)
-        return self.spark.read.schema(OBJECT).parquet(*[self._p("objects", f"pack={k}") for k in have])
+        return self.spark.read.schema(OBJECT).parquet(*[self._p("objects", have[k]) for k in wanted])
+
+    def _drop_packs(self, packs: list[int]) -> None:
+        have = self._pack_folders()
+        for k in packs:
+            self._drop("objects", have.pop(k))
+        for batch in {n for n in self._names("objects")} - {f.split("/")[0] for f in have.values()}:
+            self._drop("objects", batch)
 
     def log(self) -> DataFrame:
         """The log after the checkpoint."""
@@ -379,11 +396,9 @@ class SnapshotStore:
         placed = dealt.mapInArrow(lambda b: batches_of(place(b), schema), OBJECT)
         aside = self._p("aside", uuid.uuid4().hex)
         self._write(placed.withColumn("pack", F.col("pack_id")), aside, by="pack")
-        fs, p = self._fs(aside)
-        made = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("pack="))
-        for name in made:
-            self._rename(posixpath.join(aside, name), "objects", name)
-        return [int(name[5:]) for name in made]
+        batch = f"b={uuid.uuid4().hex}"
+        self._rename(aside, "objects", batch)
+        return [k for k, folder in self._pack_folders().items() if folder.startswith(batch)]
 
     def _append(self, changes: DataFrame) -> None:
         lsn = self._lsn() + 1
@@ -606,8 +621,7 @@ class SnapshotStore:
             if not dry_run:
                 if report.packs:
                     report.reclaimed = self._compact(classified, report.packs)
-                for pack in left:
-                    self._drop("objects", f"pack={pack}")
+                self._drop_packs(left)
             drop_written(classified)
         return report
 
@@ -627,8 +641,7 @@ class SnapshotStore:
             changes = changes.unionByName(moved.select(F.lit(ix.INSERT).alias("op"), *AT))
         self._append(changes)
         self._checkpoint(self.index())
-        for pack in packs:
-            self._drop("objects", f"pack={pack}")
+        self._drop_packs(packs)
         self._drop("staged")
         return sums.get("erase", (0, 0))[1]
 

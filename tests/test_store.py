@@ -84,10 +84,10 @@ def test_single_file_and_degraded_store(spark, tree, tmp_path):
 
 def damage(store, **changes):
     """Rewrite every pack with some columns changed."""
-    for k in store.packs():
+    for k, folder in store._pack_folders().items():
         store._write(store.objects([k]).withColumns(changes), store._p("aside", str(k)))
-        store._drop("objects", f"pack={k}")
-        store._rename(store._p("aside", str(k)), "objects", f"pack={k}")
+        store._drop("objects", folder)
+        store._rename(store._p("aside", str(k)), "objects", folder)
 
 
 def hidden(byte):
@@ -117,11 +117,11 @@ def test_wrong_bytes_under_a_right_crc_and_doubled_objects_are_found(spark, tree
         store.restore("s", str(tmp_path / "out"))
     damage(store, payload=hidden(b"h"), payload_crc=F.crc32(hidden(b"h")))
     store.restore("s", str(tmp_path / "out"))
-    store.objects().limit(2).write.mode("append").parquet(store._p("objects", "pack=0"))
+    store.objects().limit(2).write.mode("append").parquet(store._p("objects", store._pack_folders()[0]))
     assert store.fsck().duplicated == 2
     with pytest.raises(StoreError, match="bytes of"):
         store.restore("s", str(tmp_path / "out"))
-    store._drop("objects", "pack=0")
+    store._drop_packs([0])
     assert store.fsck().unplaced == store.index().count()
 
 
@@ -202,8 +202,7 @@ def test_what_is_read(spark, tree, tmp_path, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(Tree, "chunks", lambda *_: pytest.fail("read again"))
         assert store.backup(str(tree / "a.bin"), "three")["new_objects"] == 0
-    for k in packs:
-        store._drop("objects", f"pack={k}")
+    store._drop_packs(packs)
     assert store.restore("three", str(tmp_path / "copy")) == 1
     assert (tmp_path / "copy").read_bytes() == (tree / "a.bin").read_bytes()
     source = Tree(spark, str(tree))
