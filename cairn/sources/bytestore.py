@@ -34,6 +34,7 @@ OBJECT_HEADER = struct.Struct("<4sBII32sII")  # magic, codec, original_size, sto
 LOG_RECORD = struct.Struct("<BQ32sIQI")  # op, lsn, digest, pack_id, offset, crc of what precedes it
 CHECKPOINT_HEADER = struct.Struct("<8sIQQ32s")  # magic, version, count, lsn, digest of the rows
 CHECKPOINT_ROW = struct.Struct("<32sIQ")  # digest, pack_id, offset
+PACK_HEADER_BYTES, OBJECT_HEADER_BYTES = PACK_HEADER.size, OBJECT_HEADER.size
 MAX_ORIGINAL, MAX_STORED = 1 << 20, 2 << 20
 
 #: Bytes of payload in a batch that a task hands on.
@@ -123,6 +124,17 @@ def read_packs(spark: SparkSession, folder: str, verify: bool = True) -> DataFra
     return _tasks(spark, [os.path.join(folder, n) for n in names], rows, OBJECTS)
 
 
+def audit_packs(spark: SparkSession, folder: str) -> DataFrame:
+    """(pack, records, good_bytes, file_bytes): a pack with more bytes than good ones is cut short or damaged."""
+
+    def rows(path: str) -> Iterator[tuple]:
+        sizes = [OBJECT_HEADER_BYTES + r[4] for r in scan_pack(path)]
+        yield os.path.basename(path), len(sizes), PACK_HEADER_BYTES + sum(sizes), os.path.getsize(path)
+
+    names = sorted(n for n in os.listdir(folder) if n.startswith("pack_") and n.endswith(".pack") and n[5:-5].isdigit())
+    return _tasks(spark, [os.path.join(folder, n) for n in names], rows, "pack string, records bigint, good_bytes bigint, file_bytes bigint")
+
+
 def scan_log(path: str) -> Iterator[tuple]:
     """Rows of ``CHANGES`` up to the first record that is short, bad or of an unknown kind; a missing file has none."""
     if not os.path.exists(path):
@@ -178,14 +190,18 @@ def read_index(spark: SparkSession, store: str) -> DataFrame:
     return ix.replay(read_log(spark, os.path.join(store, "index.wal")), read_checkpoint(spark, at), checkpoint_lsn(at))
 
 
-def read_manifests(spark: SparkSession, store: str) -> DataFrame:
-    """(snapshot, is_directory, path, size, mode, chunks): a row for each file; ``.tmp`` names are skipped."""
+def read_manifests(spark: SparkSession, store: str, recursive: bool = False) -> DataFrame:
+    """(snapshot, is_directory, path, size, mode, chunks): a row for each file; ``.tmp`` names are skipped.
+
+    ``recursive`` takes manifests in folders below too, as marking for garbage collection has to.
+    """
     folder = os.path.join(store, "manifests")
-    names = sorted(n for n in os.listdir(folder) if os.path.isfile(os.path.join(folder, n)) and not n.endswith(".tmp"))
+    found = [os.path.relpath(os.path.join(d, n), folder) for d, _, names in os.walk(folder) for n in names if os.path.isfile(os.path.join(d, n))]
+    names = sorted(n for n in found if not n.endswith(".tmp") and (recursive or os.sep not in n))
 
     def rows(path: str) -> Iterator[tuple]:
         with open(path, encoding="utf-8") as f:
-            yield os.path.basename(path), f.read()
+            yield os.path.relpath(path, folder), f.read()
 
     texts = _tasks(spark, [os.path.join(folder, n) for n in names], rows, "snapshot string, text string")
     parsed = texts.select("snapshot", manifests.from_json(F.col("text")).alias("m"))

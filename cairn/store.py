@@ -110,6 +110,7 @@ class SnapshotStore:
     def __init__(self, spark: SparkSession, path: str, *, pack_bytes: int = dedup.PACK_BYTES):
         self.spark, self.path, self.pack_bytes = spark, path.rstrip("/") or "/", pack_bytes
         self._verified: int | None = None
+        self._known: dict[int, dict] = {}
 
     def __enter__(self) -> SnapshotStore:
         return self
@@ -275,7 +276,7 @@ class SnapshotStore:
 
     def _drop_packs(self, packs: list[int]) -> None:
         have = self._pack_folders()
-        for k in packs:
+        for k in {*packs} & {*have}:
             self._drop("objects", have.pop(k))
         for batch in {n for n in self._names("objects")} - {f.split("/")[0] for f in have.values()}:
             self._drop("objects", batch)
@@ -297,9 +298,10 @@ class SnapshotStore:
             return {"version": 0, "count": 0, "lsn": 0, "checksum": 0}
         version = int(have[-1][2:])
         try:
-            meta = self.spark.read.schema(META).parquet(self._p("CURRENT", f"v={version:06d}")).first().asDict()
+            meta = self._known.get(version) or self.spark.read.schema(META).parquet(self._p("CURRENT", f"v={version:06d}")).first().asDict()
         except Exception as e:
             raise IndexUnavailable(f"checkpoint {version}: {e}") from e
+        self._known = {version: meta}
         if meta["version"] != version or not self._names(f"index/v={version:06d}"):
             raise IndexUnavailable(f"checkpoint {version} is missing")
         return meta

@@ -59,6 +59,14 @@ def test_damage(spark, exported):
     data = open(pack, "rb").read()
     rows = list(bs.scan_pack(pack))
     second = rows[1][1]
+    os.makedirs(os.path.join(out, "manifests/below"))
+    with open(os.path.join(out, "manifests/one")) as f, open(os.path.join(out, "manifests/below/two"), "w") as g:
+        g.write(f.read())
+    files = {recursive: {r.snapshot for r in bs.read_manifests(spark, out, recursive).select("snapshot").collect()} for recursive in (False, True)}
+    assert files == {False: {"one"}, True: {"one", "below/two"}}
+    open(pack, "ab").write(b"torn")
+    first = bs.audit_packs(spark, os.path.join(out, "packs")).orderBy("pack").collect()
+    assert tuple(first[0])[1:] == (len(rows), len(data), len(data) + 4) and all(r.good_bytes == r.file_bytes for r in first[1:])
     for cut in (second, second + 20, second + 60):  # between records, within a header, within a payload
         open(pack, "wb").write(data[:cut])
         assert list(bs.scan_pack(pack)) == rows[:1]
