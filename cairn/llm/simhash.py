@@ -141,12 +141,14 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The document with the least doc_id of every group, with all its columns.
 
-    Groups are those of ``similar``: five-word shingles at a similarity of 0.8, not the fingerprints.
+    Texts whose fingerprints link, as in ``near_duplicates``, are candidates, which the exact check of ``similar`` follows:
+    five-word shingles at a similarity of 0.8. Texts of that similarity whose fingerprints are further apart are found by their
+    rarest shingles, so no pair is lost.
     Rows that share a doc_id and a group are one document and one of them stays; in different groups
     they are different documents, each of which stays where its group is named by that doc_id. Rows
     without a doc_id cannot be named as a copy of another, so they all stay.
     """
-    labels = similar.near_duplicates(docs).where("doc_id = component_id")
+    labels = similar.near_duplicates(docs, fingerprint=fingerprint, links=links).where("doc_id = component_id")
     least = labels.groupBy("doc_id", "root").agg(F.min("text_hash").alias("__kept_text"))
     kept = written(least.select(F.col("doc_id").alias("__kept_id"), "__kept_text"), "kept")
     rows = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))

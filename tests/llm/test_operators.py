@@ -221,6 +221,26 @@ def test_similar_on_tangled_edits(spark):
     assert {r.doc_id: r.component_id for r in similar.near_duplicates(df).collect()} == want
 
 
+def test_near_dedup_checks_what_fingerprints_link(spark, monkeypatch):
+    """Without rare shingles the stage finds the similar texts within 3 bits and no others; unlike texts within 3 bits stay; with them all are found."""
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(2_000)]
+    table = {0: " ".join(words), 1: " ".join([*words[:1_000], "x", *words[1_001:]])}
+    table |= {2 + i: "ha " * 3_000 + " ".join(f"{c}{j}" for j in range(30)) for i, c in enumerate("ab")}
+    table |= {4: " ".join(f"v{i}" for i in range(60)), 5: " ".join([*(f"v{i}" for i in range(60)), *(f"z{i}" for i in range(8))])}
+    apart = [(simhash.fingerprint(table[i].encode()) ^ simhash.fingerprint(table[i + 1].encode())).bit_count() for i in (0, 2, 4)]
+    assert apart[0] <= 3 and apart[1] <= 3 < apart[2] and brute_similar(table) == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 4}
+    df = spark.createDataFrame([*table.items()], "doc_id long, text string").repartition(3)
+
+    def kept():
+        return {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, SF).collect()}
+
+    assert kept() == {0, 2, 3, 4}
+    monkeypatch.setattr(similar, "rare_stars", lambda lists: lists.select(F.col("k").alias("a"), F.col("k").alias("b")).limit(0))
+    assert kept() == {0, 2, 3, 4, 5}
+
+
 def test_deduplicate_ids_with_several_texts(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     table = [(1, a), (5, a), (5, b), (5, b), (5, b + " end"), (6, b), (7, c), (7, None), (7, ""), (None, c)]
