@@ -2,8 +2,9 @@
 
 Each byte is mapped to one printable character; the mapped vocabulary becomes a BPE model whose
 pieces are scored by their negative rank, with no normalisation, so that sentencepiece merges in
-the order of the ranks. A text is cut by the pre-token pattern and each distinct pre-token is
-encoded once for each block of work; decoding maps ids back to bytes.
+the order of the ranks. A text is cut by the pre-token pattern; a worker remembers pre-tokens with
+their ids, written out, and with what these ids decode to, so that a text's ids and bytes are joined
+from those of its pre-tokens. Texts are encoded in runs, so that new pre-tokens go to sentencepiece together, with borders between them that no piece crosses.
 
 Defined results: a null text is empty and has no tokens; repeated rows give repeated rows; other
 columns are not read.
@@ -14,7 +15,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from operator import itemgetter
 
 import pyarrow as pa
 import regex
@@ -23,10 +27,17 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cairn.llm.common import map_texts
+from cairn.llm.common import blocks, map_texts
 
-#: Distinct pre-tokens that a worker remembers, and their characters; then it starts afresh.
+#: Distinct pre-tokens that a worker remembers, and their characters; at half of either it forgets those not met since the half before.
 MEMORY, MEMORY_CHARS = 200_000, 8 << 20
+#: A byte that no UTF-8 text has, between pre-tokens that are encoded together.
+BORDER = b"\xff"
+#: Characters of text whose pre-tokens are looked up together, at most; a longer text is a run of its own.
+RUN_CHARS = 1 << 18
+
+
+_FIRST, _SECOND = itemgetter(0), itemgetter(1)
 
 
 def byte_chars() -> list[str]:
@@ -73,37 +84,61 @@ def serialise(tokens: list[bytes]) -> bytes:
 
 
 class Codec:
-    """Encodes and decodes whole texts; remembers at most MEMORY pre-tokens, of MEMORY_CHARS or one text's."""
+    """Encodes and decodes whole texts; remembers at most MEMORY pre-tokens, of MEMORY_CHARS, besides those of the run at work."""
 
     def __init__(self, ranks: bytes, pattern: str):
-        self.tokens = read_ranks(ranks)
-        self.rank = {t: i for i, t in enumerate(self.tokens)}
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.tokens))
+        tokens = read_ranks(ranks)
+        self.rank = {t: i for i, t in enumerate(tokens)}
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(tokens))
         self.split = regex.compile(pattern).findall
-        self.to = dict(enumerate(byte_chars()))
-        self.memory: dict[str, tuple[int, ...]] = {}
+        # a border between pre-tokens becomes a character that no piece has, so nothing merges across it: the unknown piece, which is the last
+        self.to = dict(enumerate(byte_chars())) | {BORDER[0]: "\n"}
+        self.tokens = [*tokens, BORDER]
+        self.decimals = [*map(str, range(len(tokens))), "\n"]
+        #: Pre-token: its ids in decimals, and the bytes that they decode to.
+        self.memory: dict[str, tuple[str, bytes]] = {}
+        self.before: dict[str, tuple[str, bytes]] = {}
         self.held = 0
 
-    def pieces(self, pre_tokens: list[str]) -> list[tuple[int, ...]]:
-        """The ids of each pre-token; a pre-token that is a token itself has its id."""
-        memory = self.memory
-        new = [p for p in dict.fromkeys(pre_tokens) if p not in memory]
-        if new:
+    def learn(self, pre_tokens: list[str]) -> None:
+        """Have all of them in the memory; a pre-token that is a token itself has its id."""
+        new = set(pre_tokens).difference(self.memory)
+        if not new:
+            return
+        size = sum(map(len, new))
+        if 2 * (len(self.memory) + len(new)) > MEMORY or 2 * (self.held + size) > MEMORY_CHARS:
+            # what one run brings beyond its half is forgotten with the next run
+            small = 2 * len(self.memory) <= MEMORY and 2 * self.held <= MEMORY_CHARS
+            self.before, self.memory, self.held = self.memory if small else {}, {}, 0
+            new = set(pre_tokens)
             size = sum(map(len, new))
-            if len(memory) + len(new) > MEMORY or self.held + size > MEMORY_CHARS:
-                memory.clear()
-                new = list(dict.fromkeys(pre_tokens))
-                self.held, size = 0, sum(map(len, new))
-            self.held += size
-            known = {p: self.rank.get(p.encode()) for p in new}
-            rest = [p for p in new if known[p] is None]
-            mapped = [p.encode().decode("latin-1").translate(self.to) for p in rest]
-            memory.update({p: (i,) for p, i in known.items() if i is not None})
-            memory.update(zip(rest, map(tuple, self.model.encode(mapped, num_threads=1)), strict=True))
-        return [memory[p] for p in pre_tokens]
+        self.held += size
+        memory, before = self.memory, self.before
+        rest = []
+        for p in new:
+            if p in before:
+                memory[p] = before[p]
+            elif (i := self.rank.get(b := p.encode())) is not None:
+                memory[p] = self.decimals[i], self.tokens[i]
+            else:
+                rest.append(p)
+        if rest:
+            joined = BORDER.join([p.encode() for p in rest]).decode("latin-1").translate(self.to)
+            ids = self.model.encode(joined, num_threads=1)
+            spelt = " ".join(map(self.decimals.__getitem__, ids)).split(" \n ")
+            memory.update(zip(rest, zip(spelt, self.decode(ids).split(BORDER), strict=True), strict=True))
+
+    def spelt(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """For each text its ids in decimals, joined by blanks, and the bytes that they decode to."""
+        for a, z in blocks(list(map(len, texts)), RUN_CHARS):
+            cut = list(map(self.split, texts[a:z]))
+            self.learn(list(chain.from_iterable(cut)))
+            for pre_tokens in cut:
+                found = list(map(self.memory.__getitem__, pre_tokens))
+                yield " ".join(map(_FIRST, found)), b"".join(map(_SECOND, found))
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids in self.pieces(self.split(text)) for i in ids]
+        return [int(i) for ids, _ in self.spelt([text]) for i in ids.split()]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -126,13 +161,12 @@ def encoded(df: DataFrame, ranks: Broadcast, pattern: str, *, keep_ids: bool = T
     def run(texts: list[bytes]) -> list[pa.Array]:
         codec = _codec(ranks.value, pattern)
         n, spelt, back, all_ids = [], [], [], []
-        for t in texts:
-            ids = codec.encode(t.decode("utf-8"))
-            n.append(len(ids))
-            spelt.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-            back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+        for ids, decoded in codec.spelt([t.decode("utf-8") for t in texts]):
+            n.append(ids.count(" ") + 1 if ids else 0)
+            spelt.append(hashlib.sha256(ids.encode()).hexdigest())
+            back.append(hashlib.sha256(decoded).hexdigest())
             if keep_ids:
-                all_ids.append(ids)
+                all_ids.append(list(map(int, ids.split())))
         out = [pa.array(n, pa.int64()), pa.array(spelt, pa.string()), pa.array(back, pa.string())]
         return [*out, pa.array(all_ids, pa.list_(pa.int32()))] if keep_ids else out
 

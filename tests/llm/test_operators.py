@@ -338,6 +338,25 @@ def test_bpe_round_trip_of_every_byte():
         assert codec.decode(codec.encode(t)) == t.encode()
 
 
+def test_bpe_keeps_what_comes_again(monkeypatch):
+    """A full memory forgets only what has not been met lately: a word of every text is encoded once; borders between words change no ids."""
+    monkeypatch.setattr(bpe, "MEMORY", 100)
+    codec, sent = bpe.Codec(ranks_file(), public_tokenizers.PATTERN), []
+    model = codec.model
+
+    class Counting:
+        def encode(self, given, **options):
+            sent.append("\n".join([given] if isinstance(given, str) else given))
+            return model.encode(given, **options)
+
+    codec.model = Counting()
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for t, i in codec.rank.items()}, special_tokens={})
+    texts = ["qzxjkvw " + " ".join(f"w{chr(97 + i % 26)}q{chr(97 + j)}zx" for j in range(i % 3, 26)) + " ÿ\n\xff\x00\n😀" for i in range(60)]
+    for t in texts:
+        assert codec.encode(t) == own.encode_ordinary(t)
+    assert sum(x.split("\n").count("qzxjkvw") for x in sent) == 1
+
+
 # ---- word pieces
 
 
