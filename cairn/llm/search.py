@@ -5,14 +5,15 @@ row of a table, built once: its terms with their document frequencies, and each
 Inside a shard documents that share their weightiest term are neighbours, in blocks of ``BLOCK``.
 For a query the terms are parted: the rarer ones are essential and scored from their postings; of
 those that more than one document in ``OFTEN`` holds, only the greatest impact in each block is
-used at first, which with the essential score bounds every document. The documents with the highest
-bounds are scored whole, then all whose bound reaches the k-th best score so far: of this shard, of
+used at first, which with the essential scores bounds every document. Tiles of ``TILE`` blocks with a
+bound that reaches the k-th best score so far are scored for all such queries of some hundred by one product of matrices in single
+precision, and what then may still reach it, by the bounds of its errors, is scored exactly. The k-th best is that of this shard, of
 those before it in the task, or of the seed shards. The seeds, about the square root of the
 number of shards, are searched first, and their merged k-th best prunes all others. Document
 counts, lengths and document frequencies are global, so scores of different shards compare, and
 merging the shards' k best gives exactly the k best of all.
 
-Queries are taken in blocks of ``QUERY_TERMS`` terms at most (16 bytes each; a query of more terms, and
+Queries are taken in blocks of ``QUERY_TERMS`` terms at most (12 bytes each and 8 for each distinct one; a query of more terms, and
 what shares its hash class, is a block of its own), the only thing that is broadcast. Each block is one pass over the index, and its results are written before the next
 begins; so neither memory nor shuffled bytes grow with the product of queries and shards.
 
@@ -43,16 +44,22 @@ from cairn.session import drop_written, reread, scratch, written
 K1, B = 1.2, 0.75
 BLOCK = 16
 #: A term in more than one document of so many is frequent.
-OFTEN = 6
+OFTEN = 24
+#: Frequent terms, at most, others are essential: 12 bytes for each in each document of a shard whose tile has it.
+COLUMNS = 1024
 SHARD_DOCS = 6_000
-#: Terms of the queries that are searched at once, at most: 32 MB.
+#: Terms of the queries that are searched at once, at most: 40 MB.
 QUERY_TERMS = 2_000_000
 #: Hash classes of queries for each block; whole classes make a block.
 CLASSES = 32
-#: Documents that are scored whole before the others are held against the k-th best, at least.
-FIRST = 64
-#: Queries whose terms are looked up in a shard at once.
+#: Queries that are searched in a shard at once, at most.
 LOOKED_UP = 256
+#: Scores that are held at once, about: documents of a shard for each of these queries.
+CELLS = 2_000_000
+#: Postings that are read at once, about.
+POSTINGS = 50_000
+#: Blocks whose documents are scored together.
+TILE = 8
 #: Scores are rounded to six places, so that much less than the k-th best may still tie with it.
 SLACK = 2e-6
 #: Documents of a shard that hold a term which may decide who is whose neighbour.
@@ -120,70 +127,135 @@ def _build(id_type: pa.DataType):
 
 
 class Asked:
-    """A block of queries: ids, where each one's terms end, its terms in order, and their weights."""
+    """A block of queries: ids, where each one's terms end, its terms in order as places in the block's own, and their weights."""
 
     def __init__(self, rows: pa.Table, total: int, id_type: pa.DataType):
         self.ids = pa.chunked_array(rows.column("query_id").chunks, id_type).combine_chunks()
         self.cuts = np.append(0, np.cumsum(pa.compute.list_value_length(rows.column("terms")).to_numpy().astype(np.int64)))
-        self.terms, self.weights = _flat(rows.column("terms")), _flat(rows.column("weights"))
-        self.frequent = np.unique(self.terms[_flat(rows.column("dfs")) * OFTEN > total])
+        self.terms, first, at = np.unique(_flat(rows.column("terms")), return_index=True, return_inverse=True)
+        self.at, self.weights = at.astype(np.int32), _flat(rows.column("weights"))
+        dfs = _flat(rows.column("dfs"))[first]
+        often = np.flatnonzero(dfs * OFTEN > total)
+        self.frequent = self.terms[np.sort(often[np.argsort(-dfs[often], kind="stable")[:COLUMNS]])]
         self.least = np.zeros(len(self.ids))
 
 
 class Shard:
-    """Postings sorted by term and document; impacts of the frequent terms by document and by block."""
+    """Postings sorted by term and document; impacts of the frequent terms by document, in tiles, and by block."""
 
     def __init__(self, row: dict[str, pa.Array], frequent: np.ndarray, mean: float):
         lengths, self.terms, self.held, self.doc, counts = (row[c].to_numpy() for c in ("lengths", "terms", "held", "docs", "counts"))
+        self.n_docs = len(lengths)
         tf = counts.astype(np.float64)
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / mean))
+        self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * lengths / mean))[self.doc])
         self.begin = np.cumsum(self.held, dtype=np.int64) - self.held
-        # a column for each frequent term, present or not: scores are summed alike in all shards, so equal texts tie
-        self.column = np.full(len(self.terms), -1)
         at, known = _positions(self.terms, frequent)
-        self.column[at[known]] = np.flatnonzero(known)
-        own = np.repeat(self.column, self.held)
-        often = np.flatnonzero(own >= 0)
-        self.whole = np.zeros((len(lengths), len(frequent)))
-        self.whole[self.doc[often], own[often]] = self.impact[often]
-        self.top = np.maximum.reduceat(self.whole, np.arange(0, len(lengths), BLOCK))
+        at = at[known]
+        self.column = np.full(len(self.terms), -1)
+        self.column[at] = np.arange(len(at))
+        post = _ranges(self.begin[at], self.held[at])
+        self.blocks = np.arange(0, self.n_docs, BLOCK)
+        self.tiles, self.top = self._tiles(np.repeat(np.arange(len(at)), self.held[at]), self.doc[post], self.impact[post], len(at))
+        # sums of so many numbers in single precision are off by this share at most
+        self.slips = (len(at) + 8) * 2.0**-23
         self.ids = row["ids"]
-        self.by_id = np.empty(len(lengths), np.int64)
-        self.by_id[pa.compute.sort_indices(self.ids, null_placement="at_start").to_numpy()] = np.arange(len(lengths))
+        self.by_id = np.empty(self.n_docs, np.int64)
+        self.by_id[pa.compute.sort_indices(self.ids, null_placement="at_start").to_numpy()] = np.arange(self.n_docs)
+
+    def _tiles(self, column: np.ndarray, doc: np.ndarray, impact: np.ndarray, columns: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+        """For each tile the columns that it has, and the impacts by document, exact and in single precision; the greatest by column and block."""
+        by_doc = np.argsort(doc.astype(np.uint16) if len(self.blocks) * BLOCK <= 1 << 16 else doc, kind="stable")
+        starts = self.blocks[::TILE]
+        cuts = np.append(np.searchsorted(doc[by_doc], starts), len(doc))
+        tiles, tops = [], []
+        for t, a in enumerate(starts):
+            own = by_doc[cuts[t] : cuts[t + 1]]
+            blocks = self.blocks[t * TILE : (t + 1) * TILE] - a
+            impacts = np.zeros((min(TILE * BLOCK, self.n_docs - a), columns))
+            impacts[doc[own] - a, column[own]] = impact[own]
+            tops.append(np.maximum.reduceat(impacts, blocks).astype(np.float32))
+            used = np.flatnonzero(tops[-1].any(axis=0))
+            impacts = impacts.take(used, axis=1)
+            tiles.append((used, impacts, impacts.astype(np.float32)))
+        return tiles, np.ascontiguousarray(np.concatenate(tops).T)
 
     def search(self, asked: Asked, k: int, least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, documents, scores): the k best that reach ``least``, which is raised on the way."""
-        for a in range(0, len(least), LOOKED_UP):
-            z = min(a + LOOKED_UP, len(least))
+        place, there = _positions(self.terms, asked.terms)
+        place[~there] = -1
+        step = max(1, min(LOOKED_UP, CELLS // self.n_docs))
+        for a in range(0, len(least), step):
+            z = min(a + step, len(least))
             part = slice(asked.cuts[a], asked.cuts[z])
-            at, known = _positions(self.terms, asked.terms[part])
+            at = place[asked.at[part]]
+            known = np.flatnonzero(at >= 0)
             at, weight = at[known], asked.weights[part][known]
             of = np.repeat(np.arange(z - a), np.diff(asked.cuts[a : z + 1]))[known]
             column = self.column[at]
-            often, n = column >= 0, self.whole.shape[1]
-            weights = np.bincount(of[often] * n + column[often], weights=weight[often], minlength=(z - a) * n).reshape(z - a, n)
-            bounds = weights @ self.top.T
-            at, weight, cuts = at[~often], weight[~often], np.searchsorted(of[~often], np.arange(z - a + 1))
-            for q in range(z - a):
+            often, rare = column >= 0, column < 0
+            essential = self._essential(at[rare], weight[rare], np.searchsorted(of[rare], np.arange(z - a + 1)))
+            column, weight, of = column[often], weight[often], of[often]
+            weights = np.zeros((len(self.top), z - a), np.float32)
+            weights[column, of] = weight
+            under = self._under(least[a:z])
+            scores = self._nearly(essential, weights, under)
+            cuts = np.searchsorted(of, np.arange(z - a + 1))
+            for q in np.flatnonzero(scores.max(axis=1) > under):
                 own = slice(cuts[q], cuts[q + 1])
-                found = self._best(at[own], weight[own], weights[q], bounds[q], k, least[a + q])
+                found = self._best(essential[q], scores[q], under[q], column[own], weight[own], k, least[a + q])
                 if found:
-                    docs, scores, least[a + q] = found
-                    yield a + q, docs, scores
-
-    def _best(self, at: np.ndarray, weight: np.ndarray, weights: np.ndarray, bounds: np.ndarray, k: int, least: float):
-        n = self.held[at]
-        post = _ranges(self.begin[at], n)
-        score = np.bincount(self.doc[post], weights=self.impact[post] * np.repeat(weight, n), minlength=len(self.whole))
-        bound = score + np.repeat(bounds, BLOCK)[: len(score)]
-        docs = np.flatnonzero(bound > max(least - SLACK, 0))
-        first = max(FIRST, 2 * k)
-        if len(docs) > first:
-            some = docs[np.argpartition(bound[docs], len(docs) - first)[len(docs) - first :]]
-            exact = score[some] + (self.whole[some] * weights).sum(axis=1)
-            least = max(least, float(np.partition(exact, first - k)[first - k]))
-            docs = docs[bound[docs] > max(least - SLACK, 0)]
-        exact = np.round(score[docs] + (self.whole[docs] * weights).sum(axis=1), 6)
+                    docs, exact, least[a + q] = found
+                    yield a + q, docs, exact
+
+    def _essential(self, at: np.ndarray, weight: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Scores of all documents by the rarer terms of each query."""
+        begin, held = self.begin[at], self.held[at]
+        ends = np.append(0, np.cumsum(held, dtype=np.int64))[cuts]
+        out = np.empty((len(cuts) - 1, self.n_docs))
+        a = 0
+        while a < len(out):
+            z = max(a + 1, int(np.searchsorted(ends, ends[a] + POSTINGS, "right")) - 1)
+            own = slice(cuts[a], cuts[z])
+            post = _ranges(begin[own], held[own])
+            doc, score = self.doc[post], self.impact[post] * np.repeat(weight[own], held[own])
+            for q in range(a, z):
+                own = slice(ends[q] - ends[a], ends[q + 1] - ends[a])
+                out[q] = np.bincount(doc[own], weights=score[own], minlength=out.shape[1])
+            a = z
+        return out
+
+    def _under(self, least: np.ndarray) -> np.ndarray:
+        """What scores in single precision exceed if the exact ones reach ``least``, or are not 0."""
+        return (np.maximum(least - SLACK, 0) * (1 - self.slips)).astype(np.float32)
+
+    def _nearly(self, essential: np.ndarray, weights: np.ndarray, under: np.ndarray) -> np.ndarray:
+        """Scores in single precision; of tiles where no block's bound exceeds ``under``, the essential ones only."""
+        scores = essential.astype(np.float32)
+        bounds = weights.T @ self.top
+        bounds += np.maximum.reduceat(scores, self.blocks, axis=1)
+        reach = np.logical_or.reduceat(bounds > under[:, None], np.arange(0, len(self.blocks), TILE), axis=1)
+        for t, (used, _, impacts) in enumerate(self.tiles):
+            some = np.flatnonzero(reach[:, t])
+            if len(some):
+                scores[some, t * TILE * BLOCK : (t + 1) * TILE * BLOCK] += weights[used][:, some].T @ impacts.T
+        return scores
+
+    def _best(self, essential: np.ndarray, scores: np.ndarray, under: float, column: np.ndarray, weight: np.ndarray, k: int, least: float):
+        docs = np.flatnonzero(scores > under)
+        if len(docs) > k:
+            near = scores[docs]
+            kth = float(np.partition(near, len(near) - k)[len(near) - k]) * (1 - self.slips)
+            docs = docs[near > self._under(kth)]
+        weights = np.zeros(len(self.top))
+        weights[column] = weight
+        tile, exact = docs // (TILE * BLOCK), essential[docs]
+        for t in dict.fromkeys(tile.tolist()):
+            used, impacts, _ = self.tiles[t]
+            some = tile == t
+            # terms are summed one after another, alike in all shards, so equal texts tie
+            if len(used):
+                exact[some] += np.cumsum(impacts[docs[some] - t * TILE * BLOCK] * weights[used], axis=1)[:, -1]
+        exact = np.round(exact, 6)
         good = np.flatnonzero((exact > 0) & (exact > least - SLACK))
         if not len(good):
             return None

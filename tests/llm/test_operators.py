@@ -8,7 +8,10 @@ from collections import Counter, defaultdict
 from functools import lru_cache
 
 import duckdb
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 import tiktoken
 import xxhash
@@ -646,6 +649,36 @@ def test_search_ties_and_odd_ids(spark):
     assert len(got["z7"]) == 12 and all(i.startswith("z") for i, _ in got["z7"])
 
 
+@pytest.mark.parametrize("columns", [0, 7, 1024])
+def test_search_scores_frequent_terms_by_tiles(monkeypatch, columns):
+    """Terms of a tenth of the documents need no postings, whole tiles are left out, and scores are exact however many terms are frequent."""
+    monkeypatch.setattr(search, "COLUMNS", columns, raising=False)
+    draw, size = random.Random(5), 620
+    texts = [" ".join(draw.choices([f"{'ab'[i % 2]}{j}" for j in range(150)], k=draw.randint(8, 40)) + [f"rare{draw.randrange(900)}"]) for i in range(size)]
+    texts[17] = texts[401] = texts[33]
+    n, terms, counts = search._bags([t.encode() for t in texts])
+    row = search._build(pa.int64())((pa.scalar(0),), pa.table({"id": pa.array(range(size)), "n": n, "terms": terms, "counts": counts}))
+    mean, df = sum(n.to_pylist()) / size, Counter(t for bag in terms.to_pylist() for t in bag)
+    picked = [0, 1, 17, 33, *range(50, size, 30)]
+    bags = [sorted(zip(terms[i].as_py(), counts[i].as_py())) for i in picked]
+    idf = {t: math.log(1 + (size - d + 0.5) / (d + 0.5)) for t, d in df.items()}
+    columns_ = {"terms": [[t for t, _ in b] for b in bags], "weights": [[f * idf[t] for t, f in b] for b in bags], "dfs": [[df[t] for t, _ in b] for b in bags]}
+    asked = search.Asked(pa.table({"query_id": pa.array(picked), **columns_}), size, pa.int64())
+    shard = search.Shard({c: row.column(c).combine_chunks()[0].values for c in search.INDEX_LISTS}, asked.frequent, mean)
+    want = brute_search(list(enumerate(texts)), picked, 6)
+    read, ranges = [0], search._ranges
+    monkeypatch.setattr(search, "_ranges", lambda starts, sizes: (read.append(int(np.sum(sizes))), ranges(starts, sizes))[1])
+    for least in (np.zeros(len(picked)), np.array([-want[q][-1][0] for q in picked])):
+        found = {picked[q]: (shard.ids.take(pa.array(docs)).to_pylist(), scores.tolist()) for q, docs, scores in shard.search(asked, 6, least.copy())}
+        for q in picked:
+            assert found[q][1] == pytest.approx([-s for s, _ in want[q]], abs=2e-6)
+            assert {i for i, s in zip(*found[q]) if s > -want[q][-1][0] + 2e-6} == {i for s, i in want[q] if -s > -want[q][-1][0] + 2e-6}
+        copies = [s for i, s in zip(*found[33]) if i in (17, 33, 401)]
+        assert len(copies) == 3 and len(set(copies)) == 1 and found[33][0][:3] == [17, 33, 401]
+    if columns == 1024:
+        assert sum(read) == 2 * sum(df[t] for b in bags for t, _ in b if df[t] * 24 <= size)
+
+
 def test_search_blocks_hold_at_most_so_many_terms(spark):
     sizes = [1, 3, 9, 2, 40, 5] * 20 + [300]
     df = spark.createDataFrame([(i, [0] * n) for i, n in enumerate(sizes)], "query_id long, terms array<long>")
