@@ -68,15 +68,18 @@ def digest(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def chunks(files: DataFrame) -> DataFrame:
-    """(snapshot, path, chunk_idx, offset, length, digest, bytes) of files (snapshot, path, content).
+def chunks(files: DataFrame, keys: tuple[str, ...] = ("snapshot", "path"), *, empty: bool = False) -> DataFrame:
+    """(*keys, chunk_idx, offset, length, digest, bytes) of files (*keys, content).
 
+    Files without content have no chunk; with ``empty`` they have one, of no bytes, or null if the content is.
     The boundaries come from one Arrow UDF; cutting and hashing stay in generated code.
     """
-    cut = files.select("snapshot", "path", "content", F.pandas_udf(_ends_of_all, T.ArrayType(T.IntegerType()))("content").alias("ends"))
-    each = cut.select("snapshot", "path", "content", "ends", F.posexplode("ends").alias("chunk_idx", "end"))
+    cut = files.select(*keys, "content", F.pandas_udf(_ends_of_all, T.ArrayType(T.IntegerType()))("content").alias("ends"))
+    each = cut.select(*keys, "content", "ends", (F.posexplode_outer if empty else F.posexplode)("ends").alias("chunk_idx", "end"))
+    if empty:
+        each = each.fillna(0, ["chunk_idx", "end"])
     offset = F.when(F.col("chunk_idx") > 0, F.get("ends", F.col("chunk_idx") - 1)).otherwise(0)
-    each = each.select("snapshot", "path", "chunk_idx", offset.alias("offset"), (F.col("end") - offset).alias("length"), "content")
+    each = each.select(*keys, "chunk_idx", offset.alias("offset"), (F.col("end") - offset).alias("length"), "content")
     body = F.substring(F.col("content"), F.col("offset") + 1, F.col("length"))
-    each = each.select("snapshot", "path", "chunk_idx", "offset", "length", body.alias("bytes"))
-    return each.select("snapshot", "path", "chunk_idx", "offset", "length", digest(F.col("bytes")).alias("digest"), "bytes")
+    each = each.select(*keys, "chunk_idx", "offset", "length", body.alias("bytes"))
+    return each.select(*keys, "chunk_idx", "offset", "length", digest(F.col("bytes")).alias("digest"), "bytes")

@@ -34,6 +34,17 @@ def test_query_against_oracle(spark, duck, name):
     assert got == plain(tuple(r[names.index(c)] for c in columns) for r in con.fetchall())
 
 
+def test_reassemble_check_of_odd_rows(spark, tmp_path):
+    """Empty and null texts, keys that come again with other texts or the same, null keys."""
+    long = [(7, ("%d " * 9_000) % tuple(range(k, k + 9_000)), "a") for k in (0, 5)]
+    rows = [(1, "", "a"), (2, None, "a"), (3, "one", "a"), (3, "other", "a"), (3, "", "a"), (3, None, "a"), (4, "same", "b"), (4, "same", "b"), (None, "x", None), (None, "y", None), *long]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = QUERIES["reassemble_check"](spark, str(tmp_path)).select("snapshot", "path", "digest").collect()
+    assert plain(got) == plain(con.execute(ORACLE["reassemble_check"]).fetchall()) and len(got) == len(rows)
+
+
 def test_known_counts(spark):
     r = QUERIES["dedup_ratio"](spark, SF).first()
     assert (r.refs, r.objects, r.logical_bytes, r.unique_bytes) == (217, 206, 495892, 466449)
